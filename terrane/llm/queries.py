@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, urls, warc
+from . import minhash, packing, suffix, urls, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed rules of the URL query: (verdict, host and start of the path).
@@ -31,6 +31,10 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), length=100).drop("kept")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive_and_read(table(spark, sf_dir, "pages"), min_payload=0)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -40,7 +44,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_dedup, op5_warc, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_dedup, op3_suffix_dedup, op5_warc, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
