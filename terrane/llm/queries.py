@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, suffix, urls, warc
+from . import minhash, packing, suffix, toxicity, urls, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed rules of the URL query: (verdict, host and start of the path).
@@ -40,11 +40,25 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def remainder(doc_id: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3, F.lit(-1))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    return toxicity.learn(docs, table(spark, sf_dir, "labels"), usable=remainder() != 1)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (remainder() == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_dedup, op3_suffix_dedup, op5_warc, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_dedup, op3_suffix_dedup, op5_warc, op7_toxicity, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
