@@ -161,7 +161,9 @@ def read_records(index: DataFrame, folder: str, gap: int = 65_536, most: int = 8
 
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: 7 if payloads else 6]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-    dealt = index.select("file", "at", "length").repartition("file", F.floor(F.col("at") / most)).sortWithinPartitions("file", "at")
+    places = index.select("file", "at", "length")
+    tasks = -(-(places.agg(F.sum("length")).first()[0] or 0) // most) or 1  # the index is too small to show how much is to be read
+    dealt = places.repartition(tasks, "file", F.floor(F.col("at") / most)).sortWithinPartitions("file", "at")
     return dealt.mapInArrow(read, RECORD + ", payload binary" * payloads)
 
 
