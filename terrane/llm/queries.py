@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, suffix, toxicity, urls, warc
+from . import chat, decontaminate, embeddings, minhash, packing, quality, suffix, toxicity, urls, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed rules of the URL query: (verdict, host and start of the path).
@@ -35,6 +35,18 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), length=100).drop("kept")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontaminate.with_matches(docs, table(spark, sf_dir, "benchmark"), k=5, at=0.8)
+    return marked.select(
+        "doc_id",
+        (~decontaminate.clean()).alias("contaminated"),
+        decontaminate.clean().alias("kept"),
+        F.col("matches.item_id").alias("item_ids"),
+        F.coalesce(F.array_max("matches.similarity"), F.lit(0.0)).alias("similarity"),
+    )
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive_and_read(table(spark, sf_dir, "pages"), min_payload=0)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -48,18 +60,32 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
     return toxicity.learn(docs, table(spark, sf_dir, "labels"), usable=remainder() != 1)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), at=0.9)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
     return scored.select("doc_id", (remainder() == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_dedup, op3_suffix_dedup, op5_warc, op7_toxicity, op9_url_filter)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights = quality.fit(docs, table(spark, sf_dir, "labels"), usable=remainder() != 1)
+    return quality.score(docs, weights)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_dedup, op3_suffix_dedup, op4_decontamination, op5_warc, op6_embedding_dedup, op7_toxicity, op8_chat_formatting, op9_url_filter, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": urls.sql(RULES)}
+    return {"op8_chat_formatting": chat.PLAIN_SQL, "op9_url_filter": urls.sql(RULES)}
