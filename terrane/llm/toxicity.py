@@ -138,42 +138,43 @@ def fit(texts: list[str], toxic: np.ndarray, p_value: float = 1e-8, reach: int =
     model = Model(base_rate=float(toxic.mean()) if len(toxic) else 0.0)
     if not 0 < model.base_rate < 1:
         return model
-    words = [t.lower().split() for t in texts]
-    known: dict[str, np.ndarray] = {}
+    # Words as numbers: a list of strings for each text would outgrow the driver.
+    number: dict[str, int] = {}
+    words = [np.fromiter((number.setdefault(w, len(number)) for w in t.lower().split()), np.int32) for t in texts]
+    known = [parts(w).astype(np.int32) for w in number]
     counts = np.zeros((2, BUCKETS), np.int32)
     for ws, y in zip(words, toxic, strict=True):
-        got = [known[w] if w in known else known.setdefault(w, parts(w)) for w in set(ws)]
-        if got:
-            counts[int(y)][np.unique(np.concatenate(got))] += 1
-    n = counts.sum(axis=0)
-    q = np.divide(counts[1], np.maximum(n, 1))
-    p0 = model.base_rate
+        if len(ws):
+            counts[int(y)][np.unique(np.concatenate([known[w] for w in np.unique(ws)]))] += 1
+    some = np.flatnonzero(counts[1])
+    toxic_n, n = counts[1][some], counts[:, some].sum(axis=0)
+    del counts
+    q, p0 = toxic_n / n, model.base_rate
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.nan_to_num(q * np.log(q / p0)) + np.nan_to_num((1 - q) * np.log((1 - q) / (1 - p0)))
-    chosen = np.flatnonzero((q > max(0.6, 2 * p0)) & (n * gain > -np.log(p_value)))
+    chosen = some[(q > max(0.6, 2 * p0)) & (n * gain > -np.log(p_value))]
     if not len(chosen):
         return model
     slot = np.full(BUCKETS, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
-    of_word = {w: s[s >= 0] for w, b in known.items() for s in [slot[b]]}
-    hits = {w for w, s in of_word.items() if len(s)}
-    # Stretches around hits, and as many others from evenly spread places of the clean texts.
+    known = [b[b >= 0] for b in (slot[b] for b in known)]
+    cols = np.concatenate(known).astype(np.int64)
+    rows = np.repeat(np.arange(len(known)), [len(b) for b in known])
+    hit = np.zeros(len(known), bool)
+    hit[rows] = True
+    # Stretches around hits, and one from the middle of each clean text without any.
     stretches, labels = [], []
     for ws, y in zip(words, toxic, strict=True):
-        at = [i for i, w in enumerate(ws) if w in hits]
-        if not at and ws and not y:
-            at = [len(ws) // 2]
+        at = np.flatnonzero(hit[ws]) if len(ws) else np.zeros(0, int)
+        if not len(at) and len(ws) and not y:
+            at = np.array([len(ws) // 2])
         end = -1
         for i in at:
             if i >= end:
                 low, end = max(0, i - reach), min(len(ws), i + reach + 1)
                 stretches.append(ws[low:end])
-                labels.append([int(bool(y) and w in hits) for w in ws[low:end]])
-    vocabulary = {w: i for i, w in enumerate({w for s in stretches for w in s})}
-    rows = np.concatenate([np.full(len(of_word[w]), i) for w, i in vocabulary.items()]).astype(np.int64)
-    cols = np.concatenate([of_word[w] for w in vocabulary]).astype(np.int64)
-    ids = np.array([vocabulary[w] for s in stretches for w in s])
-    y = np.array([v for s in labels for v in s])
+                labels.append(hit[ws[low:end]] & bool(y))
+    ids, y = np.concatenate(stretches), np.concatenate(labels).astype(int)
     lengths = np.array([len(s) for s in stretches])
     starts = np.zeros(len(ids), bool)
     starts[np.cumsum(lengths) - lengths] = True
@@ -183,19 +184,24 @@ def fit(texts: list[str], toxic: np.ndarray, p_value: float = 1e-8, reach: int =
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
         w = theta[:-5]
-        e = theta[-5] + np.bincount(rows, w[cols], len(vocabulary))
+        e = theta[-5] + np.bincount(rows, w[cols], len(known))
         now = Model(bias=0, enter=theta[-4], stay_toxic=theta[-3], leave=theta[-2], stay_clean=theta[-1])
         x = np.exp(np.clip(e[ids], -30, 30))
         got = passes(x, lengths, now)
         p, pairs = marginals(got), pair_counts(got, now)
         seen = np.array([((before == 0) & (y == 1)).sum(), ((before == 1) & (y == 1)).sum(), ((before == 1) & (y == 0)).sum(), ((before == 0) & (y == 0)).sum()])
-        back = np.bincount(ids, y - p, len(vocabulary))
+        back = np.bincount(ids, y - p, len(known))
         grad = np.concatenate((np.bincount(cols, back[rows], len(chosen)) - 0.5 * w, [(y - p).sum()], seen - pairs - 0.5 * theta[-4:]))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     model.weights = {int(b): float(x) for b, x in zip(chosen, theta[:-5], strict=True)}
     model.bias, model.enter, model.stay_toxic, model.leave, model.stay_clean = map(float, theta[-5:])
-    z = np.concatenate([tagged(part, model)[0] for part in grouped(words)])
+    odds = np.exp(np.minimum(30.0, model.bias + np.bincount(rows, theta[:-5][cols], len(known))))
+    z = []
+    for group in grouped(words):
+        lengths = np.array([len(ws) for ws in group], np.int64)
+        z.append(evidence(marginals(passes(odds[np.concatenate(group)], lengths, model)), lengths))
+    z = np.concatenate(z)
     model.calibration = calibrated(z, np.asarray(toxic, float))
     return model
 
@@ -214,7 +220,7 @@ def calibrated(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, .
     return tuple(map(float, theta))
 
 
-def grouped(words: list[list[str]]):
+def grouped(words: list):
     """Consecutive texts with about MOST_TOKENS tokens together."""
     group, n = [], 0
     for ws in words:
