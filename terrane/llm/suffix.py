@@ -267,24 +267,25 @@ def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 200) -> Data
     """
     spark = docs.sparkSession
     found = Written(anchors(docs, length), "suffix-runs")
-    counts = found.df.groupBy("fp").agg(F.count(F.lit(1)).alias("times"), F.min("sh").alias("low"), F.max("sh").alias("high"), F.max("inner").alias("inner"))
-    again = counts.where("times > 1 or inner").select("fp", ((F.col("low") != F.col("high")) | F.col("inner")).alias("mixed"))
-    runs_ = Written(found.df.drop("inner").join(again, "fp"), "suffix-again").df
-    del counts, again
+    again = found.df.groupBy("fp").agg(F.count(F.lit(1)).alias("times"), F.max("inner").alias("within")).where("times > 1 or within").select("fp")
+    runs_ = Written(found.df.join(again, "fp"), "suffix-again")
+    del again
     found.drop()
     release(spark)
-    firsts = runs_.groupBy("fp", "sh").agg(F.min(F.struct("doc", "start")).alias("first"), F.any_value("n").alias("n"), F.any_value("mixed").alias("mixed"))
+    firsts = runs_.df.groupBy("fp", "sh").agg(F.min(F.struct("doc", "start")).alias("first"), F.any_value("n").alias("n"), F.max("inner").alias("inner"))
     firsts = Written(firsts, "suffix-firsts").df
-    copies = runs_.join(firsts.select("fp", "sh", "first"), ["fp", "sh"]).where(F.struct("doc", "start") != F.col("first"))
+    copies = runs_.df.join(firsts.select("fp", "sh", "first"), ["fp", "sh"]).where(F.struct("doc", "start") != F.col("first"))
     copies = copies.select("doc", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n") + (length - 1)).cast("long").alias("end"))
-    mixed = firsts.where("mixed").select("fp", "first.doc", "first.start", "n")
-    sizes = mixed.groupBy("fp").agg((F.count(F.lit(1)) > crowd).alias("crowded"))
-    pieces = Written(cut_out(docs, mixed.join(sizes, "fp"), length), "suffix-pieces").df
+    shape = firsts.groupBy("fp").agg(F.count(F.lit(1)).alias("contents"), F.max("inner").alias("within")).where("contents > 1 or within")
+    mixed = firsts.join(shape.select("fp", (F.col("contents") > crowd).alias("crowded")), "fp").select("fp", "first.doc", "first.start", "n", "crowded")
+    pieces = Written(cut_out(docs, mixed, length), "suffix-pieces").df
     release(spark)
     windows = pieces.where("bytes is null")
     seen = windows.groupBy("fp").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "start")).alias("first")).where("times > 1")
     single = windows.join(seen, "fp").where(F.struct("doc", "start") != F.col("first")).select("doc", "start", (F.col("start") + length).alias("end"))
     out = Written(copies.unionByName(single).unionByName(transformed(pieces.where("bytes is not null"), length)), "suffix-spans").df
+    del copies, single, pieces, windows, seen, firsts, shape, mixed
+    runs_.drop()
     release(spark)
     return out
 
