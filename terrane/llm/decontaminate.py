@@ -145,13 +145,15 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, at: float =
             for batch in batches:
                 found = [
                     (old or []) + index.matches(word_hashes(t, known), at)
-                    for t, old in zip(raw_texts(batch.column("__text")), batch.column("matches").to_pylist(), strict=True)
+                    for t, old in zip(raw_texts(batch.column(text)), batch.column("matches").to_pylist(), strict=True)
                 ]
                 yield batch.set_column(batch.schema.get_field_index("matches"), "matches", pa.array(found, batch.schema.field("matches").type))
 
         return mark
 
-    out = docs.drop("matches").withColumns({"__text": F.col("text").cast("string"), "matches": F.array().cast(T.ArrayType(MATCH))})
+    text = "text" if docs.schema["text"].dataType == T.StringType() else "__text"  # no second copy where none is needed
+    out = docs.drop("matches").withColumn("matches", F.array().cast(T.ArrayType(MATCH)))
+    out = out if text == "text" else out.withColumn(text, F.col("text").cast("string"))
     for items in item_blocks(benchmark, most_items, most_bytes):
         out = out.mapInArrow(marker(Index(items, k)), T.StructType([f if f.name != "matches" else T.StructField("matches", T.ArrayType(MATCH)) for f in out.schema]))
     return out.drop("__text")

@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 BUCKETS = 1 << 22
 SIZES = (4, 5, 6, 8)  # bytes of a word's parts
 EDGES = re.compile(rb"^[^a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff]+$")
-MOST_CACHED = 500_000
-MOST_TOKENS = 1_000_000  # of the texts tagged at once (more where one text has more)
+MOST_CACHED = 300_000
+MOST_LETTERS = 2_000_000  # of the texts tagged at once (more where one text has more)
+MOST_TOKENS = 1_000_000  # of the texts that calibrate at once (more where one text has more)
 
 
 def parts(word: str) -> np.ndarray:
@@ -233,13 +234,26 @@ def grouped(words: list):
         yield group
 
 
+def like_lengths(texts: list[str]):
+    """Numbers of texts of about one length, with about MOST_LETTERS letters together: only their words are in memory."""
+    group, n = [], 0
+    for i in sorted(range(len(texts)), key=lambda i: len(texts[i])):
+        group.append(i)
+        n += len(texts[i])
+        if n >= MOST_LETTERS:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group
+
+
 def tagged(words: list[list[str]], model: Model, odds: Odds | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Evidence of each text, its length, and all tokens' probabilities."""
     odds = Odds(model) if odds is None else odds
     if len(odds) > MOST_CACHED:
         odds.clear()
     lengths = np.array([len(ws) for ws in words], np.int64)
-    x = np.fromiter((odds[w] for ws in words for w in ws), float, int(lengths.sum()))
+    x = np.concatenate([np.fromiter(map(odds.__getitem__, ws), float, len(ws)) for ws in words]) if len(words) else np.zeros(0)
     p = marginals(passes(x, lengths, model))
     return evidence(p, lengths), lengths, p
 
@@ -267,27 +281,23 @@ def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     def tag(batches):
         odds = Odds(model)
         for batch in batches:
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
+            texts = [t or "" for t in batch.column(text).to_pylist()]
             scores, spans = np.full(len(texts), model.score(evidence(np.zeros(0), np.zeros(1, np.int64)))[0]), [[] for _ in texts]
             if model.weights:
-                words = [t.lower().split() for t in texts]
-                order = sorted(range(len(texts)), key=lambda i: len(words[i]))
-                done = 0
-                for group in grouped([words[i] for i in order]):
-                    z, lengths, p = tagged(group, model, odds)
-                    of = order[done : done + len(group)]
+                for of in like_lengths(texts):
+                    z, lengths, p = tagged([texts[i].lower().split() for i in of], model, odds)
                     scores[of] = model.score(z)
                     ends = np.cumsum(lengths)
                     for k in np.unique(np.searchsorted(ends, np.flatnonzero(p >= least), side="right")):
                         spans[of[k]] = offending(texts[of[k]], p[ends[k] - lengths[k] : ends[k]], least)
-                    done += len(group)
-            out = [*batch.drop_columns(["__text"]).columns, pa.array(scores), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())])))]
+            out = [*batch.select(columns).columns, pa.array(scores), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())])))]
             yield pa.RecordBatch.from_arrays(out, names=[*columns, "score", "spans"])
 
     docs = docs.drop("score", "spans")
     columns = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
-    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(tag, schema)
+    text = "text" if docs.schema["text"].dataType == T.StringType() else "__text"  # no second copy where none is needed
+    return (docs if text == "text" else docs.withColumn(text, F.col("text").cast("string"))).mapInArrow(tag, schema)
 
 
 def offending(text: str, p: np.ndarray, least: float) -> list[tuple[int, int, float]]:
