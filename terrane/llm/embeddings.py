@@ -171,18 +171,20 @@ class Graph:
 
 
 def linked(graph: Graph, queries: np.ndarray, at: float, recall: float, audits: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) with similarity of about at or more. The beam of a query that it fills widens twofold; all
-    widen while an audit of evenly spread queries against every node finds less than recall of their pairs."""
+    """Pairs (query, node) with similarity of about at or more. The beam of a query that fills it with links widens
+    twofold; all widen while an audit of evenly spread queries against every node finds less than recall of their
+    pairs. Where a wider beam would cost more than a product with all nodes does, it is as wide as the shard."""
     n, floor = len(graph.vectors), at - 1e-4
     sample = np.unique(np.linspace(0, len(queries) - 1, min(audits, len(queries))).astype(int))
     true = queries[sample] @ graph.vectors.T >= floor
+    first, whole = width, lambda w: w >= n or (w > first and w * 64 >= n)
     while True:
-        if width >= n:
+        if whole(width):
             out = [np.nonzero(queries[i : i + 512] @ graph.vectors.T >= floor) for i in range(0, len(queries), 512)]
             return np.concatenate([x + 512 * i for i, (x, _) in enumerate(out)]), np.concatenate([y for _, y in out])
         todo, w, rows, nodes = np.arange(len(queries)), width, [], []
         while len(todo):
-            if w >= n:
+            if whole(w):
                 for i in range(0, len(todo), 512):
                     x, y = np.nonzero(queries[todo[i : i + 512]] @ graph.vectors.T >= floor)
                     rows.append(todo[i + x])
