@@ -14,6 +14,7 @@ from .shingles import mix
 
 GRAM = 24
 CHUNK = 2_000_000  # bytes scanned, or transformed, at once (more where one text or fingerprint has more)
+STRETCH = 8  # windows
 SEPARATOR = 0xFF  # no byte of UTF-8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -198,9 +199,33 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Of the runs wanted (doc, fp, start, n, crowded): (fp, doc, start, bytes) of each; of crowded ones a row for
-    each window instead, with a hash of its bytes as fp and no bytes."""
+    """Of the runs wanted (doc, fp, start, n, crowded): (fp, doc, start, bytes) of each.
+
+    Crowded runs are cut into stretches of STRETCH windows, by the windows' distance from their gram, and fp is a hash
+    of the bytes that all windows of a full stretch share. Equal windows have their gram at the same distance and so
+    share that, too. These rows also have n, a hash sh of their own bytes, and hashes of their windows. Crowded runs
+    that hold their gram twice are cut into single windows.
+    """
     by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("fp", "start", "n", "crowded")).alias("runs"))
+    grams = length - GRAM + 1
+
+    def stretches(b: bytes, fp, start, n):
+        h = gram_hashes(np.frombuffer(b, np.uint8))
+        forth, back = powers(BASE, len(h)), powers(INVERSE, len(h))
+        out = []
+        for f, s, k in zip(fp.view(np.uint64), start.tolist(), n.tolist(), strict=True):
+            at = np.flatnonzero(h[s : s + k + grams - 1] == f) + s
+            gram = at[np.searchsorted(at, np.arange(s, s + k))]  # the first in each window
+            low = gram - (gram - np.arange(s, s + k)) // STRETCH * STRETCH - STRETCH + 1
+            begin, first, many = np.unique(low, return_index=True, return_counts=True)
+            out.append((begin, s + first, many))
+        begin, first, many = (np.concatenate(c) for c in zip(*out, strict=True))
+        # A full stretch starts at begin; from its last window's start its windows share length - STRETCH + 1 bytes.
+        key = ranges(h, begin + STRETCH - 1, grams - STRETCH + 1, forth, back)
+        own = ranges(h, first, many + grams - 1, forth, back) ^ mix(many.astype(np.uint64) << np.uint64(1))
+        every = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        windows = np.split(ranges(h, every, grams, forth, back).view(np.int64), np.cumsum(many)[:-1])
+        return key.view(np.int64), first, many, own.view(np.int64), windows
 
     def cut(batches):
         for batch in batches:
@@ -208,22 +233,18 @@ def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 rows = runs_.values
                 fp, start, n, crowded = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(4))
                 start, n = start.astype(np.int64), n.astype(np.int64)
-                plain = np.flatnonzero(~crowded)
-                pieces = [b[start[i] : start[i] + n[i] + length - 1] for i in plain]
-                out_fp, out_start = [fp[plain]], [start[plain]]
+                own = np.flatnonzero(~crowded)
+                at, many, keys, sh, windows = start[own], n[own], fp[own], [None] * len(own), [None] * len(own)
                 if crowded.any():
-                    of, many = start[crowded], n[crowded]
-                    at = np.repeat(of - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                    h = gram_hashes(np.frombuffer(b, np.uint8))
-                    out_fp.append(ranges(h, at, length - GRAM + 1, powers(BASE, len(h)), powers(INVERSE, len(h))).view(np.int64))
-                    out_start.append(at)
-                    pieces += [None] * len(at)
-                out_fp, out_start = np.concatenate(out_fp), np.concatenate(out_start)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_fp), pa.array(np.full(len(out_fp), doc, np.int64)), pa.array(out_start), pa.array(pieces, pa.binary())], names=["fp", "doc", "start", "bytes"]
-                )
+                    key2, at2, many2, sh2, windows2 = stretches(b, fp[crowded], start[crowded], n[crowded])
+                    at, many, keys = np.concatenate((at, at2)), np.concatenate((many, many2)), np.concatenate((keys, key2))
+                    sh, windows = sh + sh2.tolist(), windows + windows2
+                pieces = [b[s : s + k + length - 1] for s, k in zip(at.tolist(), many.tolist(), strict=True)]
+                columns = [pa.array(keys), pa.array(np.full(len(at), doc, np.int64)), pa.array(at), pa.array(many), pa.array(pieces, pa.binary()), pa.array(sh, pa.int64()), pa.array(windows, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["fp", "doc", "start", "n", "bytes", "sh", "windows"])
 
-    return docs.join(by_doc, "doc").select("doc", "text", "runs").mapInArrow(cut, "fp long, doc long, start long, bytes binary")
+    schema = "fp long, doc long, start long, n long, bytes binary, sh long, windows array<long>"
+    return docs.join(by_doc, "doc").select("doc", "text", "runs").mapInArrow(cut, schema)
 
 
 def transformed(pieces: DataFrame, length: int) -> DataFrame:
@@ -262,8 +283,9 @@ def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 200) -> Data
     A window's fingerprint is the least hash of the GRAM-byte strings in it, so equal windows share it, and
     neighbours that share one make a run of about 40 windows. Only runs whose fingerprint occurs twice, or that may repeat within, go on. Runs of
     equal content collapse to the first, which covers the others. Those left of one fingerprint meet in a
-    Burrows-Wheeler transform. Fingerprints with more than `crowd` contents (where a passage that very many texts
-    share starts or ends) would fill one task: their windows collapse by content one by one.
+    Burrows-Wheeler transform. A fingerprint with more than `crowd` contents (where a passage that very many texts
+    share starts or ends) would fill one task: its runs are cut into stretches that are dealt by more of their bytes
+    and do the same. Stretches that are crowded still, at the very edge, collapse window by window by content.
     """
     spark = docs.sparkSession
     found = Written(anchors(docs, length), "suffix-runs")
@@ -280,11 +302,21 @@ def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 200) -> Data
     mixed = firsts.join(shape.select("fp", (F.col("contents") > crowd).alias("crowded")), "fp").select("fp", "first.doc", "first.start", "n", "crowded")
     pieces = Written(cut_out(docs, mixed, length), "suffix-pieces").df
     release(spark)
-    windows = pieces.where("bytes is null")
-    seen = windows.groupBy("fp").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "start")).alias("first")).where("times > 1")
-    single = windows.join(seen, "fp").where(F.struct("doc", "start") != F.col("first")).select("doc", "start", (F.col("start") + length).alias("end"))
-    out = Written(copies.unionByName(single).unionByName(transformed(pieces.where("bytes is not null"), length)), "suffix-spans").df
-    del copies, single, pieces, windows, seen, firsts, shape, mixed
+    plain = pieces.where("sh is null").select("fp", "doc", "start", "bytes")
+    stretches = pieces.where("sh is not null")
+    heads = stretches.groupBy("fp", "sh").agg(F.min(F.struct("doc", "start")).alias("first"), F.any_value("bytes").alias("bytes"), F.any_value("windows").alias("windows"))
+    heads = Written(heads, "suffix-heads").df
+    copies2 = stretches.select("fp", "sh", "doc", "start", "n").join(heads.select("fp", "sh", "first"), ["fp", "sh"]).where(F.struct("doc", "start") != F.col("first"))
+    copies2 = copies2.select("doc", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))
+    shape2 = heads.groupBy("fp").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("fp", (F.col("contents") > crowd).alias("crowded"))
+    mixed2 = heads.join(shape2, "fp").select("fp", "first.doc", "first.start", "bytes", "windows", "crowded")
+    plain = plain.unionByName(mixed2.where("not crowded").select("fp", "doc", "start", "bytes"))
+    windows = mixed2.where("crowded").select("doc", F.col("start").alias("from"), F.posexplode("windows").alias("i", "window"))
+    windows = windows.select("doc", (F.col("from") + F.col("i")).alias("start"), "window")
+    seen = windows.groupBy("window").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "start")).alias("first")).where("times > 1")
+    single = windows.join(seen, "window").where(F.struct("doc", "start") != F.col("first")).select("doc", "start", (F.col("start") + length).alias("end"))
+    out = Written(copies.unionByName(copies2).unionByName(single).unionByName(transformed(plain, length)), "suffix-spans").df
+    del copies, copies2, single, pieces, plain, stretches, heads, shape2, mixed2, windows, seen, firsts, shape, mixed
     runs_.drop()
     release(spark)
     return out
