@@ -111,11 +111,12 @@ class Index:
                 for b in range(BLOCKS):
                     likely |= near[b, f[:, b]]
                 best: dict[int, dict] = {}
-                for i, j in zip(*np.nonzero(likely), strict=True):
-                    if POPCOUNT[f[i] ^ prints[j]].sum() <= RADIUS:
-                        x = similarity(s[starts[i] : starts[i] + n], own[j])
-                        if x >= at and (j not in best or x > best[j]["similarity"]):
-                            best[j] = {"item_id": ids[j], "start": int(starts[i]), "words": size, "similarity": x}
+                rows, columns = np.nonzero(likely)
+                close = POPCOUNT[f[rows] ^ prints[columns]].sum(axis=1) <= RADIUS
+                for i, j in zip(rows[close].tolist(), columns[close].tolist(), strict=True):
+                    x = similarity(s[starts[i] : starts[i] + n], own[j])
+                    if x >= at and (j not in best or x > best[j]["similarity"]):
+                        best[j] = {"item_id": ids[j], "start": int(starts[i]), "words": size, "similarity": x}
                 out += best.values()
         return sorted(out, key=lambda m: m["item_id"])
 
