@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -19,7 +20,7 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whole integers hold the bits, so a batch of pairs takes microseconds each; nested lambdas over letters took a
     hundred times as long."""

@@ -88,14 +88,16 @@ def merge_nodes(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
     return merged.select("id", "__own.*", *[c for c in merged.columns if c not in ("id", "__own")])
 
 
+def _united(rows: DataFrame, name: str):
+    """A linked property's values of all members, the kept node's first, one for each id."""
+    members = F.array_sort(F.collect_list(F.struct(F.col("kept").isNotNull().alias("k"), F.col("ord").alias("o"), F.col(f"wd_properties.{name}").alias("v"))))
+    listed = F.flatten(F.transform(members, lambda s: s.v))
+    ids = F.array_distinct(F.transform(listed, lambda x: x.id))
+    return F.transform(ids, lambda i: F.element_at(F.filter(listed, lambda x: x.id.eqNullSafe(i)), 1)).alias(name)
+
+
 def _linked(rows: DataFrame) -> list:
-    """Each linked property's values of all members, the kept node's first, one for each id."""
-    out = []
-    for name in ("instance_of", "heritage_designation", "country"):
-        listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("kept").isNotNull().alias("k"), F.col("ord").alias("o"), F.col(f"wd_properties.{name}").alias("v")))), lambda s: s.v))
-        ids = F.array_distinct(F.transform(listed, lambda x: x.id))
-        out.append(F.transform(ids, lambda i, all_=listed: F.element_at(F.filter(all_, lambda x: x.id.eqNullSafe(i)), 1)).alias(name))
-    return out
+    return [_united(rows, name) for name in ("instance_of", "heritage_designation", "country")]
 
 
 def remap_relations(relations: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -87,11 +87,15 @@ def bio_spans(spark, sf_dir):
 # Mapping
 
 
+def sample_word():
+    return F.element_at(F.array(*map(F.lit, SAMPLE_WORDS)), (F.col("p_partkey") % N_WORDS + 1).cast("int"))
+
+
 def _words(sql_name: str, form, sql: str) -> None:
     """A function of the words that parts and events have."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_type", "p_name", F.element_at(WORDS, (F.col("p_partkey") % N_WORDS + 1).cast("int"))).alias("w"), "p_partkey")
+        rows = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_type", "p_name", sample_word()).alias("w"), "p_partkey")
         return rows.select("p_partkey", form(F.col("w")).alias("value"))
 
     run.__name__ = sql_name
@@ -100,7 +104,6 @@ def _words(sql_name: str, form, sql: str) -> None:
 
 SAMPLE_WORDS = ["kiến trúc sư của", "located_in", "built by", "xây dựng", "part of", "làm bằng", "P53", "temple", "river", "nhân vật", "steel", "công ty", "thành phố", "dynasty", "festival", "year", "chùa", "nothing", "kinh độ", "mô tả", "nước nào", "ở đâu", "material_used", "time_span", "P14_carried_out_by", "architect"]
 N_WORDS = len(SAMPLE_WORDS)
-WORDS = F.array(*map(F.lit, SAMPLE_WORDS))
 WORDS_SQL = "[" + ", ".join(map(R.squote, SAMPLE_WORDS)) + "]"
 LAST = "regexp_extract(w, '^[^ ]+ [^ ]+ [^ ]+ (.*)$', 1)"
 last = lambda c: F.regexp_extract(c, "^[^ ]+ [^ ]+ [^ ]+ (.*)$", 1)
@@ -117,13 +120,13 @@ _words("heritage_relabel", lambda c: F.when(F.rlike(c, F.lit(r"(?iU)\b(" + "|".j
 
 @query(f"select p_partkey, case when p_size < 5 or p_size > 45 then 'FAC' else {R.first_keyword('lower(w)', V.NODE_KEYWORDS, repr('UNKNOWN'))} end as kind from (select *, concat_ws(' ', p_type, p_name, {WORDS_SQL}[p_partkey % {N_WORDS} + 1]) as w from part)")
 def node_typing(spark, sf_dir):
-    classes = F.array("p_type", "p_name", F.element_at(WORDS, (F.col("p_partkey") % N_WORDS + 1).cast("int")))
+    classes = F.array("p_type", "p_name", sample_word())
     return table(spark, sf_dir, "part").select("p_partkey", O.node_type(classes, F.col("p_size") < 5, F.col("p_size") > 45, F.lit("UNKNOWN")).alias("kind"))
 
 
 @query(f"select p_partkey, case when p_size < 5 then 'HISTORICAL_RELICT' else coalesce({R.first_keyword('lower(w)', V.ONTOLOGY_KEYWORDS, 'null')}, case when p_size > 45 then 'LOC' end, 'UNKNOWN') end as kind from (select *, concat_ws(' ', p_type, {WORDS_SQL}[p_partkey % {N_WORDS} + 1]) as w from part)")
 def resolve_type(spark, sf_dir):
-    classes = F.array("p_type", F.element_at(WORDS, (F.col("p_partkey") % N_WORDS + 1).cast("int")))
+    classes = F.array("p_type", sample_word())
     return table(spark, sf_dir, "part").select("p_partkey", O.resolved_type(F.col("p_size") < 5, classes, F.col("p_size") > 45, F.lit("")).alias("kind"))
 
 
