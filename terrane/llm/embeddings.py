@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import Written, components
 from .shingles import mix
 
-LINKS, BUILD_BEAM, STEP = 32, 64, 4
+LINKS, BUILD_BEAM, STEP = 32, 32, 4
 PART = 4096  # nodes of a graph in a row
 VISITED = 32_000_000  # bytes of visited marks at once
 
@@ -170,9 +170,9 @@ class Graph:
         return beam(queries, start, self.vectors, self.layers[0][1], width)
 
 
-def linked(graph: Graph, queries: np.ndarray, at: float, recall: float, audits: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def linked(graph: Graph, queries: np.ndarray, at: float, recall: float, audits: int, width: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, node) with similarity of about at or more. The beam of a query that fills it with links widens
-    twofold; all widen while an audit of evenly spread queries against every node finds less than recall of their
+    fourfold; all widen while an audit of evenly spread queries against every node finds less than recall of their
     pairs. Where a wider beam would cost more than a product with all nodes does, it is as wide as the shard."""
     n, floor = len(graph.vectors), at - 1e-4
     sample = np.unique(np.linspace(0, len(queries) - 1, min(audits, len(queries))).astype(int))
@@ -195,7 +195,7 @@ def linked(graph: Graph, queries: np.ndarray, at: float, recall: float, audits:
             x, y = np.nonzero((sims >= floor) & (ids >= 0) & ~full[:, None])
             rows.append(todo[x])
             nodes.append(ids[x, y])
-            todo, w = todo[full], w * 2
+            todo, w = todo[full], w * 4
         rows, nodes = np.concatenate(rows), np.concatenate(nodes)
         got = np.zeros(true.shape, bool)
         slot = np.full(len(queries), -1)
@@ -227,7 +227,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(read, "vec_id long, dim int, d1 long, d2 long, vec binary")
 
 
-def near_duplicates(vectors: DataFrame, at: float = 0.9, recall: float = 0.999, audits: int = 64, shards: int = 8, most: int = 250_000, chunk: int = 4096) -> DataFrame:
+def near_duplicates(vectors: DataFrame, at: float = 0.9, recall: float = 0.999, audits: int = 256, shards: int = 8, most: int = 250_000, chunk: int = 4096) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept) for every vector.
 
     Equal vectors are one class. Classes are dealt to `shards` shards, more if one would have over `most`; each builds
