@@ -264,30 +264,31 @@ def token_sort_pairs(spark, sf_dir):
     return pairs.select("a", "b", F.round(S.token_sort_ratio(F.col("a"), F.col("b")), 4).alias("ratio"))
 
 
+def letter_pairs(c):
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+
+
 def best_links(queries: DataFrame, entities: DataFrame, keys: list[str]) -> DataFrame:
-    """Each query's entity with the best token-set ratio of LINKING_RATIO or more. Only pairs that share a word, or a
-    part of one, can reach it; here the entities are few distinct labels, which travel to the queries."""
-    pairs = queries.join(entities, keys) if keys else queries.crossJoin(F.broadcast(entities))
-    scored = pairs.withColumn("value", S.token_set_ratio(F.col("q"), F.col("name"))).where(F.col("value") >= V.LINKING_RATIO)
-    return scored.groupBy("q").agg(F.max_by("name", F.struct("value", F.col("name"))).alias("name"), F.round(F.max("value"), 4).alias("value"))
+    """Each query's entity (of equal keys) with the best token-set ratio of LINKING_RATIO or more. Only those that
+    share a pair of letters are compared, which an equi-join finds."""
+    q = queries.select(*keys, "q", F.explode(letter_pairs(F.col("q"))).alias("pair"))
+    e = entities.select(*keys, "name", F.explode(letter_pairs(F.col("name"))).alias("pair"))
+    near = q.join(e, [*keys, "pair"]).select(*keys, "q", "name").distinct()
+    scored = near.withColumn("value", S.token_set_ratio(F.col("q"), F.col("name"))).where(F.col("value") >= V.LINKING_RATIO)
+    return scored.groupBy(*keys, "q").agg(F.max_by("name", F.struct("value", F.col("name"))).alias("name"), F.round(F.max("value"), 4).alias("value"))
 
 
 @query()
 def token_set_best(spark, sf_dir):
-    words = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("q")).distinct()
-    tokens = words.select("q", F.explode(F.array_distinct(S.tokens(F.lower("q")))).alias("w"))
-    entities = names(spark, sf_dir)
-    near = tokens.join(entities.select("name", F.explode(S.tokens(F.col("name"))).alias("w")), "w").select("q", "name").distinct()
-    scored = near.withColumn("value", S.token_set_ratio(F.lower("q"), F.col("name"))).where(F.col("value") >= V.LINKING_RATIO)
-    return scored.groupBy("q").agg(F.max_by("name", F.struct("value", F.col("name"))).alias("name"), F.round(F.max("value"), 4).alias("value"))
+    q = table(spark, sf_dir, "part").select(F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("q")).distinct()
+    return best_links(q, names(spark, sf_dir), [])
 
 
 @query()
 def token_set_by_type(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    q = parts.select(F.col("p_type").alias("type"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("q")).distinct()
-    e = parts.select(F.col("p_type").alias("type"), F.col("p_name").alias("name")).distinct()
-    return best_links(q, e, ["type"])
+    q = parts.select(F.col("p_type").alias("type"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("q")).distinct()
+    return best_links(q, parts.select(F.col("p_type").alias("type"), F.col("p_name").alias("name")).distinct(), ["type"])
 
 
 @query("""with e as (select vec_id, embedding from embeddings) select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) as cosine from e a join e b on b.vec_id = a.vec_id + 1""")
