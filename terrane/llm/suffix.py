@@ -295,17 +295,24 @@ def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 200) -> Data
     found.drop()
     release(spark)
     firsts = runs_.df.groupBy("fp", "sh").agg(F.min(F.struct("doc", "start")).alias("first"), F.any_value("n").alias("n"), F.max("inner").alias("inner"))
-    firsts = Written(firsts, "suffix-firsts").df
+    kept_firsts = Written(firsts, "suffix-firsts")
+    firsts = kept_firsts.df
     copies = runs_.df.join(firsts.select("fp", "sh", "first"), ["fp", "sh"]).where(F.struct("doc", "start") != F.col("first"))
     copies = copies.select("doc", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n") + (length - 1)).cast("long").alias("end"))
+    kept_copies = Written(copies, "suffix-copies")
+    runs_.drop()
+    release(spark)
     shape = firsts.groupBy("fp").agg(F.count(F.lit(1)).alias("contents"), F.max("inner").alias("within")).where("contents > 1 or within")
     mixed = firsts.join(shape.select("fp", (F.col("contents") > crowd).alias("crowded")), "fp").select("fp", "first.doc", "first.start", "n", "crowded")
-    pieces = Written(cut_out(docs, mixed, length), "suffix-pieces").df
+    kept_pieces = Written(cut_out(docs, mixed, length), "suffix-pieces")
+    pieces = kept_pieces.df
+    kept_firsts.drop()
     release(spark)
     plain = pieces.where("sh is null").select("fp", "doc", "start", "bytes")
     stretches = pieces.where("sh is not null")
     heads = stretches.groupBy("fp", "sh").agg(F.min(F.struct("doc", "start")).alias("first"), F.any_value("bytes").alias("bytes"), F.any_value("windows").alias("windows"))
-    heads = Written(heads, "suffix-heads").df
+    kept_heads = Written(heads, "suffix-heads")
+    heads = kept_heads.df
     copies2 = stretches.select("fp", "sh", "doc", "start", "n").join(heads.select("fp", "sh", "first"), ["fp", "sh"]).where(F.struct("doc", "start") != F.col("first"))
     copies2 = copies2.select("doc", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))
     shape2 = heads.groupBy("fp").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("fp", (F.col("contents") > crowd).alias("crowded"))
@@ -315,9 +322,10 @@ def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 200) -> Data
     windows = windows.select("doc", (F.col("from") + F.col("i")).alias("start"), "window")
     seen = windows.groupBy("window").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "start")).alias("first")).where("times > 1")
     single = windows.join(seen, "window").where(F.struct("doc", "start") != F.col("first")).select("doc", "start", (F.col("start") + length).alias("end"))
-    out = Written(copies.unionByName(copies2).unionByName(single).unionByName(transformed(plain, length)), "suffix-spans").df
-    del copies, copies2, single, pieces, plain, stretches, heads, shape2, mixed2, windows, seen, firsts, shape, mixed
-    runs_.drop()
+    out = Written(kept_copies.df.unionByName(copies2).unionByName(single).unionByName(transformed(plain, length)), "suffix-spans").df
+    del copies, copies2, single, pieces, plain, stretches, heads, shape, shape2, mixed, mixed2, windows, seen, firsts
+    for kept in (kept_copies, kept_pieces, kept_heads):
+        kept.drop()
     release(spark)
     return out
 
