@@ -315,4 +315,4 @@ def near_duplicates(vectors: DataFrame, at: float = 0.9, recall: float = 0.999,
     of_class = of_class.select("d1", "d2", "n_links", F.coalesce("component", "id").alias("component"))
     out = rows.select("vec_id", "d1", "d2").join(of_class, ["d1", "d2"], "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

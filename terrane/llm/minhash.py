@@ -254,7 +254,8 @@ def near_duplicates(
     no band with probability (1 - 0.8 ** rows) ** bands, 3e-6 as set.
 
     Null and empty texts, and those without words, have no shingles and no links. Fewer than k words are one shingle.
-    Repeated rows of one doc_id give one row each; their texts are taken to be equal. Other columns aren't read.
+    Repeated rows of one doc_id give one row each; their texts are taken to be equal. A null doc_id links with nothing new:
+    it has the component of an equal text, if any. Other columns aren't read.
     """
     spark, at = docs.sparkSession, percent / 100
     signed = Written(signatures(docs, k, bands, rows), "minhash-signed").df
@@ -285,4 +286,4 @@ def near_duplicates(
     of_class = of_class.select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
     out = signed.drop("sig").join(of_class, ["d1", "d2"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -400,3 +400,15 @@ def test_quality(spark):
     assert quality.fit(docs, table.limit(0)) is None and quality.score(docs.limit(0), weights).count() == 0
     alike = quality.score(docs, None).collect()
     assert all(abs(r.score - 0.5) < 1e-9 for r in alike)
+
+
+def test_null_ids(spark):
+    long = words(random.Random(16), 40)
+    docs = spark.createDataFrame([(None, long), (3, long), (None, "other words here now"), (4, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {(None, 3, False), (3, 3, True), (None, None, True), (4, 4, True)}
+    labels = spark.createDataFrame([(3, 1)], "doc_id long, toxic int")
+    assert toxicity.score(docs, toxicity.learn(docs, labels)).count() == 4
+    assert sorted(r.doc_id or -1 for r in packing.pack_documents(docs, queries.tokenizer_path()).collect()) == [-1, -1, 3, 4]
+    vectors = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (None, None)], "vec_id long, embedding array<float>")
+    assert {(r.vec_id, r.component_id, r.kept) for r in embeddings.near_duplicates(vectors).collect()} == {(None, 1, False), (1, 1, True), (None, None, True)}
