@@ -84,12 +84,14 @@ def expand(start: DataFrame, edges: DataFrame, relations: list[str] | None = Non
     return first_of(found, ["id"], ["relation", "neighbour"], limit)
 
 
-def paths(start: DataFrame, edges: DataFrame, depth: int, relations: list[str] | None = None, directed: bool = False) -> DataFrame:
-    """(nodes, relations) of every path of 1 to depth edges from the start nodes (id); no edge twice in a path."""
+def paths(start: DataFrame, edges: DataFrame, depth: int, relations: list[str] | None = None, directed: bool = False, per_node: int | None = None) -> DataFrame:
+    """(nodes, relations) of every path of 1 to depth edges from the start nodes (id); no edge twice in a path. With
+    per_node, paths go on along the first so many edges of a node only, by relation and neighbour: hubs have very many."""
     edges = edges.where(F.col("relation").isin(relations)) if relations else edges
     ways = (both_ways(edges) if not directed else both_ways(edges).where("forward")).select(
         F.col("src").alias("at"), "relation", "dst", F.when(F.col("forward"), F.concat_ws("|", "src", "relation", "dst")).otherwise(F.concat_ws("|", "dst", "relation", "src")).alias("edge")
     )
+    ways = first_of(ways, ["at"], ["relation", "dst"], per_node) if per_node else ways
     front = start.select(F.col("id").alias("at"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("relations"), F.array().cast("array<string>").alias("used"))
     out = None
     for _ in range(depth):
