@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
 from .shingles import WordHashes, mix, raw_texts, rolled
 
 BITS, BLOCKS, RADIUS = 128, 16, 44
@@ -141,6 +142,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, at: float =
     """
 
     def marker(index: Index):
+        @lean
         def mark(batches):
             known = PlainWords()
             for batch in batches:

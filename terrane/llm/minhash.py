@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, components, release
+from .common import Written, components, lean, release
 from .shingles import WordHashes, mix, raw_texts, shingle_set
 
 BLOCK = 4096  # shingles hashed at once
@@ -43,6 +43,7 @@ def least_matches(n: int, at: float, miss: float) -> int:
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, n_shingles, d1, d2, sig): set size, 128-bit digest of the set, and MinHash signature, null if empty."""
 
+    @lean
     def sign(batches):
         known = WordHashes()
         a, b = permutations(bands * rows)
@@ -76,6 +77,7 @@ def own_keys(sig: np.ndarray, bands: int) -> np.ndarray:
 def band_keys(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     """(id, band): a 64-bit key of each band of each signature."""
 
+    @lean
     def cut(batches):
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
@@ -92,6 +94,7 @@ def pruned(pairs: DataFrame, classes: DataFrame, at: float, miss: float, batch_h
     side = lambda x: classes.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     near = (F.least("n_a", "n_b") * 1.0 >= at * F.greatest("n_a", "n_b")) if at > 0 else F.lit(True)
 
+    @lean
     def test(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -110,6 +113,7 @@ def pruned(pairs: DataFrame, classes: DataFrame, at: float, miss: float, batch_h
 def shingle_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(id, hashes): the full shingle sets of the documents with these ids, which are unique."""
 
+    @lean
     def sets(batches):
         known = WordHashes()
         for batch in batches:
@@ -128,6 +132,7 @@ def common_of(x: np.ndarray, y: np.ndarray) -> int:
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
+    @lean
     def confirm(batches):
         for batch in batches:
             keep = []

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Written, lean
 
 #: The split of byte-level BPE, with white space spelled out so that every regex engine agrees.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -83,6 +83,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 1024, end_
     in one run and is fixed once the table is written.
     """
 
+    @lean
     def encode(batches):
         encoder, n, at = Encoder(tokenizer_path), 0, TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -134,6 +135,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 def _round(items: DataFrame, capacity: int) -> DataFrame:
     """Packs the items (id, size) of each partition: rows (id, bin, at, fill)."""
 
+    @lean
     def fit(batches):
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
         if not got or not sum(len(x) for x, _ in got):

@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, release
+from .common import Written, lean, release
 from .shingles import mix
 
 GRAM = 24
-CHUNK = 2_000_000  # bytes scanned, or transformed, at once (more where one text or fingerprint has more)
+SCANNED, TRANSFORMED = 1_000_000, 500_000  # bytes at once (more where one text or fingerprint has more)
 STRETCH = 8  # windows
 SEPARATOR = 0xFF  # no byte of UTF-8
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -187,10 +187,11 @@ def spans_of(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def anchors(docs: DataFrame, length: int) -> DataFrame:
     """runs() of all documents: (doc, start, n, fp, sh, inner)."""
 
+    @lean
     def scan(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for row, b, ends in chunks_of(batch.column(1), CHUNK):
+            for row, b, ends in chunks_of(batch.column(1), SCANNED):
                 text, start, n, fp, sh, inner = runs(b, ends, length)
                 columns = [ids[row + text], start.astype(np.int32), n.astype(np.int32), fp.view(np.int64), sh.view(np.int64), inner]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "start", "n", "fp", "sh", "inner"])
@@ -227,6 +228,7 @@ def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         windows = np.split(ranges(h, every, grams, forth, back).view(np.int64), np.cumsum(many)[:-1])
         return key.view(np.int64), first, many, own.view(np.int64), windows
 
+    @lean
     def cut(batches):
         for batch in batches:
             for doc, b, runs_ in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
@@ -250,6 +252,7 @@ def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 def transformed(pieces: DataFrame, length: int) -> DataFrame:
     """Spans (doc, start, end) of the pieces' bytes that an earlier piece of the same fingerprint has, too."""
 
+    @lean
     def expand(batches):
         held, size, last = [], 0, None
 
@@ -266,7 +269,7 @@ def transformed(pieces: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= CHUNK and row[0] != last:
+                if size >= TRANSFORMED and row[0] != last:
                     yield flush()
                     held, size = [], 0
                 held.append(row)
@@ -365,6 +368,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     gives no rows; other columns aren't read.
     """
 
+    @lean
     def keep(batches):
         for batch in batches:
             out = []
@@ -385,6 +389,7 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """docs with the text that is left, as UTF-8: letters of which a byte was removed go whole. Other columns stay; n_chars
     follows the text where there is one. Documents that lost all of their text go."""
 
+    @lean
     def keep(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")

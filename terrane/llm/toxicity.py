@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 BUCKETS = 1 << 22
 SIZES = (4, 5, 6, 8)  # bytes of a word's parts
 EDGES = re.compile(rb"^[^a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff]+$")
 MOST_CACHED = 300_000
-MOST_LETTERS = 2_000_000  # of the texts tagged at once (more where one text has more)
+MOST_LETTERS = 1_000_000  # of the texts tagged at once (more where one text has more)
 MOST_TOKENS = 1_000_000  # of the texts that calibrate at once (more where one text has more)
 
 
@@ -278,6 +280,7 @@ def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("probability", T.DoubleType())])
 
+    @lean
     def tag(batches):
         odds = Odds(model)
         for batch in batches:

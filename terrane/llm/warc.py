@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, fresh_path
+from .common import Written, fresh_path, lean
 
 INDEX = "file string, at long, length long, url string, payload_digest string, page_id long, record_type string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -90,6 +90,7 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0, compress
     writes no archive.
     """
 
+    @lean
     def write(batches):
         where, base = fs.FileSystem.from_uri(folder)
         task = TaskContext.get()
@@ -137,6 +138,7 @@ def read_records(index: DataFrame, folder: str, gap: int = 65_536, most: int = 8
     Places are dealt by file and stretch of most bytes, sorted, and coalesced into single reads.
     """
 
+    @lean
     def read(batches):
         where, base = fs.FileSystem.from_uri(folder)
         name, source = None, None
