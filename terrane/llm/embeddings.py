@@ -14,6 +14,7 @@ from .common import Written, components
 from .shingles import mix
 
 LINKS, BUILD_BEAM, STEP = 32, 32, 4
+TOP = 1024  # nodes of the highest layer, which is searched whole
 PART = 4096  # nodes of a graph in a row
 VISITED = 32_000_000  # bytes of visited marks at once
 
@@ -103,7 +104,7 @@ class Graph:
             self.layers, nodes = [], np.arange(len(vectors))
             height = mix(np.arange(len(vectors), dtype=np.uint64) + np.uint64(1))
             sets = [nodes]
-            while len(sets[-1]) > 256:
+            while len(sets[-1]) > TOP:
                 sets.append(nodes[height >> np.uint64(64 - 4 * len(sets)) == 0])
             for nodes in reversed([s for s in sets if len(s)]):  # the upper layers help to build the lower
                 self.layers.insert(0, (nodes, self._built(nodes)))
