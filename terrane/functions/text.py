@@ -152,16 +152,19 @@ def page_sections(pages: DataFrame) -> DataFrame:
 
 
 def bio_spans(tokens: Column, tags: Column) -> Column:
-    """array<struct<label,text>> of BIO-tagged tokens: B opens, I of the open type extends, another I opens, O closes."""
-    both = F.arrays_zip(tokens.alias("w"), tags.alias("t"))
-    empty = F.array().cast("array<struct<label:string,text:string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        mark, label = F.substring(x["t"], 1, 2), F.substring(x["t"], 3, 100)
-        goes_on = (mark == "I-") & acc.open & (F.element_at(F.concat(acc.out, F.array(F.struct(F.lit("").alias("label"), F.lit("").alias("text")))), F.greatest(F.size(acc.out), F.lit(1))).label == label)
-        last = F.try_element_at(acc.out, F.lit(-1))
-        longer = F.concat(F.slice(acc.out, F.lit(1), F.greatest(F.size(acc.out) - 1, F.lit(0))), F.array(F.struct(last.label.alias("label"), F.concat_ws(" ", last.text, x["w"]).alias("text"))))
-        opened = F.concat(acc.out, F.array(F.struct(label.alias("label"), x["w"].alias("text"))))
-        return F.struct(mark.isin("B-", "I-").alias("open"), F.when(goes_on, longer).when(mark.isin("B-", "I-"), opened).otherwise(acc.out).alias("out"))
-
-    return F.aggregate(both, F.struct(F.lit(False).alias("open"), empty.alias("out")), step).out
+    """array<struct<label,text>> of BIO-tagged tokens: B opens, I of the open type extends, another I opens, O closes.
+
+    Tokens are written in a row with a mark before each that opens a span, and the row is split at the marks; so the
+    work is linear in the tokens.
+    """
+    inside, label = (lambda t: F.substring(t, 1, 2).isin("B-", "I-")), (lambda t: F.substring(t, 3, 100))
+
+    def piece(x: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(tags, i - 1), F.lit("O"))
+        goes_on = (F.substring(x["t"], 1, 2) == "I-") & inside(before) & (label(before) == label(x["t"]))
+        word = F.translate(x["w"], "\x01\x02", "")
+        return F.when(~inside(x["t"]), "").when(goes_on, F.concat(F.lit(" "), word)).otherwise(F.concat(F.lit("\x01"), label(x["t"]), F.lit("\x02"), word))
+
+    row = F.array_join(F.transform(F.arrays_zip(tokens.alias("w"), tags.alias("t")), piece), "")
+    spans = F.filter(F.split(row, "\x01"), lambda p: p != "")
+    return F.transform(spans, lambda p: F.struct(F.substring_index(p, "\x02", 1).alias("label"), F.substring_index(p, "\x02", -1).alias("text")))

@@ -66,14 +66,14 @@ def page_sections(spark, sf_dir):
 
 
 def tagged(spark, sf_dir):
-    """Documents' first words as tokens with tags that their lengths give."""
-    tokens = F.slice(S.tokens(F.col("text")), 1, 12)
+    """Documents' words as tokens with tags that their lengths give."""
+    tokens = S.tokens(F.col("text"))
     tags = F.transform(tokens, lambda w: F.when(F.length(w) % 4 == 1, "B-LOC").when(F.length(w) % 4 == 2, "I-LOC").when(F.length(w) % 4 == 3, "I-PER").otherwise("O"))
     return table(spark, sf_dir, "documents").select("doc_id", tokens.alias("tokens"), tags.alias("tags"))
 
 
 @query(
-    r"""with t as (select doc_id, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x != '')[1:12]) as w, generate_subscripts(list_filter(string_split_regex(text, '\s+'), lambda x: x != '')[1:12], 1) as i from documents),
+    r"""with t as (select doc_id, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x != '')) as w, generate_subscripts(list_filter(string_split_regex(text, '\s+'), lambda x: x != ''), 1) as i from documents),
     g as (select *, case length(w) % 4 when 1 then 'B' when 2 then 'I' when 3 then 'I' else 'O' end as m, case length(w) % 4 when 1 then 'LOC' when 2 then 'LOC' when 3 then 'PER' else '' end as l from t),
     h as (select *, lag(m) over (partition by doc_id order by i) as pm, lag(l) over (partition by doc_id order by i) as pl from g),
     s as (select *, sum(case when m = 'B' or (m = 'I' and (pm is null or pm = 'O' or pl != l)) then 1 else 0 end) over (partition by doc_id order by i) as k from h where true)
