@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -144,11 +145,16 @@ def fit(texts: list[str], toxic: np.ndarray, p_value: float = 1e-8, reach: int =
     # Words as numbers: a list of strings for each text would outgrow the driver.
     number: dict[str, int] = {}
     words = [np.fromiter((number.setdefault(w, len(number)) for w in t.lower().split()), np.int32) for t in texts]
-    known = [parts(w).astype(np.int32) for w in number]
+    flat, ends = array("i"), [0]  # all words' buckets, laid end to end
+    for w in number:
+        flat.frombytes(parts(w).astype(np.int32).tobytes())
+        ends.append(len(flat))
+    n_words, flat = len(number), np.frombuffer(flat, np.int32)
+    del number
     counts = np.zeros((2, BUCKETS), np.int32)
     for ws, y in zip(words, toxic, strict=True):
         if len(ws):
-            counts[int(y)][np.unique(np.concatenate([known[w] for w in np.unique(ws)]))] += 1
+            counts[int(y)][np.unique(np.concatenate([flat[ends[w] : ends[w + 1]] for w in np.unique(ws)]))] += 1
     some = np.flatnonzero(counts[1])
     toxic_n, n = counts[1][some], counts[:, some].sum(axis=0)
     del counts
@@ -160,10 +166,11 @@ def fit(texts: list[str], toxic: np.ndarray, p_value: float = 1e-8, reach: int =
         return model
     slot = np.full(BUCKETS, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
-    known = [b[b >= 0] for b in (slot[b] for b in known)]
-    cols = np.concatenate(known).astype(np.int64)
-    rows = np.repeat(np.arange(len(known)), [len(b) for b in known])
-    hit = np.zeros(len(known), bool)
+    cols = slot[flat]
+    rows = np.repeat(np.arange(n_words, dtype=np.int32), np.diff(ends))[cols >= 0]
+    cols = cols[cols >= 0]
+    del flat, slot
+    hit = np.zeros(n_words, bool)
     hit[rows] = True
     # Stretches around hits, and one from the middle of each clean text without any.
     stretches, labels = [], []
@@ -187,19 +194,19 @@ def fit(texts: list[str], toxic: np.ndarray, p_value: float = 1e-8, reach: int =
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
         w = theta[:-5]
-        e = theta[-5] + np.bincount(rows, w[cols], len(known))
+        e = theta[-5] + np.bincount(rows, w[cols], n_words)
         now = Model(bias=0, enter=theta[-4], stay_toxic=theta[-3], leave=theta[-2], stay_clean=theta[-1])
         x = np.exp(np.clip(e[ids], -30, 30))
         got = passes(x, lengths, now)
         p, pairs = marginals(got), pair_counts(got, now)
         seen = np.array([((before == 0) & (y == 1)).sum(), ((before == 1) & (y == 1)).sum(), ((before == 1) & (y == 0)).sum(), ((before == 0) & (y == 0)).sum()])
-        back = np.bincount(ids, y - p, len(known))
+        back = np.bincount(ids, y - p, n_words)
         grad = np.concatenate((np.bincount(cols, back[rows], len(chosen)) - 0.5 * w, [(y - p).sum()], seen - pairs - 0.5 * theta[-4:]))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     model.weights = {int(b): float(x) for b, x in zip(chosen, theta[:-5], strict=True)}
     model.bias, model.enter, model.stay_toxic, model.leave, model.stay_clean = map(float, theta[-5:])
-    odds = np.exp(np.minimum(30.0, model.bias + np.bincount(rows, theta[:-5][cols], len(known))))
+    odds = np.exp(np.minimum(30.0, model.bias + np.bincount(rows, theta[:-5][cols], n_words)))
     z = []
     for group in grouped(words):
         lengths = np.array([len(ws) for ws in group], np.int64)
@@ -267,8 +274,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
     rows = rows if usable is None else rows.where(usable)
     ids = rows.groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
-    got = sorted(texts.collect())
-    return fit([r.text for r in got], np.array([int(r.label > 0) for r in got], int))
+    got = sorted(map(tuple, texts.collect()))
+    return fit([t for _, t, _ in got], np.array([int(y > 0) for *_, y in got], int))
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
