@@ -14,23 +14,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import lean
+from .shingles import mix
 
 BUCKETS = 1 << 22
 SIZES = (4, 5, 6, 8)  # bytes of a word's parts
-EDGES = re.compile(rb"^[^a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff]+$")
+EDGES = bytes(b for b in range(128) if not chr(b).isalnum())
 MOST_CACHED = 300_000
 MOST_LETTERS = 1_000_000  # of the texts tagged at once (more where one text has more)
 MOST_TOKENS = 1_000_000  # of the texts that calibrate at once (more where one text has more)
 
 
-def parts(word: str) -> np.ndarray:
-    """Buckets of a word's features: itself, and its byte strings of SIZES, with marked ends."""
-    w = b"^" + EDGES.sub(b"", word.encode()) + b"$"
-    crc = zlib.crc32
-    found = {crc(w)}
-    for n in SIZES:
-        found.update(crc(w[i : i + n]) for i in range(len(w) - n + 1))
-    return np.fromiter((x % BUCKETS for x in found), np.int64, len(found))
+def parts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' features, all at once: (word's number, bucket) of each word itself, and of each byte string of SIZES
+    in it, with marked ends and without punctuation around. A string that a word has twice counts twice."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    marked = [b"^" + w.encode().strip(EDGES) + b"$" for w in words]
+    sizes = np.array([len(m) for m in marked])
+    ends = np.cumsum(sizes)
+    b = np.frombuffer(b"".join(marked) + bytes(8), np.uint8).astype(np.uint64)
+    wide = {1: b}
+    for k in (1, 2, 4):
+        wide[2 * k] = wide[k][:-k] | (wide[k][k:] << np.uint64(8 * k))
+    n = int(ends[-1])
+    word = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(ends, sizes) - np.arange(n)  # bytes from here to the word's end
+    rows, hashes = [np.arange(len(words))], [np.fromiter(map(zlib.crc32, marked), np.uint64, len(marked))]
+    for size in SIZES:
+        at = np.flatnonzero(left >= size)
+        gram = wide[8][at] if size == 8 else wide[4][at] | (wide[{5: 1, 6: 2}[size]][at + 4] << np.uint64(32)) if size > 4 else wide[4][at]
+        rows.append(word[at])
+        hashes.append(mix(gram * np.uint64(31) + np.uint64(size)))
+    return np.concatenate(rows), (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 @dataclass
@@ -53,16 +68,25 @@ class Model:
 
 
 class Odds(dict):
-    """exp of a word's potential for being toxic rather than clean."""
+    """exp of a word's potential for being toxic rather than clean; new words are worked out together."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
-
-    def __missing__(self, word: str) -> float:
-        get = self.model.weights.get
-        x = self[word] = float(np.exp(min(30.0, self.model.bias + sum(get(b, 0.0) for b in parts(word).tolist()))))
-        return x
+        self.bias = model.bias
+        self.buckets = np.array(sorted(model.weights), np.int64)
+        self.weights = np.array([model.weights[b] for b in sorted(model.weights)])
+        self.counts = np.zeros(BUCKETS, bool)
+        self.counts[self.buckets] = True
+
+    def of(self, words: list[list[str]]) -> np.ndarray:
+        if len(self) > MOST_CACHED:
+            self.clear()
+        new = list(set().union(*words).difference(self))
+        rows, buckets = parts(new)
+        rows, buckets = rows[self.counts[buckets]], buckets[self.counts[buckets]]
+        e = self.bias + np.bincount(rows, self.weights[np.searchsorted(self.buckets, buckets)], len(new))
+        self.update(zip(new, np.exp(np.minimum(30.0, e)).tolist(), strict=True))
+        return np.concatenate([np.fromiter(map(self.__getitem__, ws), float, len(ws)) for ws in words]) if len(words) else np.zeros(0)
 
 
 def by_step(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,10 +169,14 @@ def fit(texts: list[str], toxic: np.ndarray, p_value: float = 1e-8, reach: int =
     # Words as numbers: a list of strings for each text would outgrow the driver.
     number: dict[str, int] = {}
     words = [np.fromiter((number.setdefault(w, len(number)) for w in t.lower().split()), np.int32) for t in texts]
-    flat, ends = array("i"), [0]  # all words' buckets, laid end to end
-    for w in number:
-        flat.frombytes(parts(w).astype(np.int32).tobytes())
-        ends.append(len(flat))
+    flat, ends, every = array("i"), [np.zeros(1, np.int64)], list(number)  # all words' buckets, laid end to end
+    for i in range(0, len(every), 20_000):
+        some = every[i : i + 20_000]
+        row, bucket = parts(some)
+        flat.frombytes(bucket[np.argsort(row, kind="stable")].astype(np.int32).tobytes())
+        ends.append(ends[-1][-1] + np.cumsum(np.bincount(row, minlength=len(some))))
+    ends = np.concatenate(ends)
+    del every
     n_words, flat = len(number), np.frombuffer(flat, np.int32)
     del number
     counts = np.zeros((2, BUCKETS), np.int32)
@@ -259,10 +287,8 @@ def like_lengths(texts: list[str]):
 def tagged(words: list[list[str]], model: Model, odds: Odds | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Evidence of each text, its length, and all tokens' probabilities."""
     odds = Odds(model) if odds is None else odds
-    if len(odds) > MOST_CACHED:
-        odds.clear()
     lengths = np.array([len(ws) for ws in words], np.int64)
-    x = np.concatenate([np.fromiter(map(odds.__getitem__, ws), float, len(ws)) for ws in words]) if len(words) else np.zeros(0)
+    x = odds.of(words)
     p = marginals(passes(x, lengths, model))
     return evidence(p, lengths), lengths, p
 
