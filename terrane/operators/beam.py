@@ -44,6 +44,8 @@ def beam_search(questions: DataFrame, nodes: DataFrame, edges: DataFrame, floor:
     paths of that depth count. Ties go by the parent's rank, then relation and target.
     """
     asked = with_requests(questions)
+    # Each depth reads these again; how they came about needs doing once.
+    nodes, edges = step(nodes.select("id", "label")), step(edges.select("source", "relation", "target").distinct())
     labels = nodes.select(F.col("id").alias("root"), F.col("label").alias("at_label"))
     beams = asked.join(labels, "root").select(
         "qid", "beam_width", "max_depth", "groups", "canonical", "codes", F.lit(1).alias("rank"), F.col("root").alias("at"), "at_label", F.array("root").alias("nodes"),

@@ -103,13 +103,14 @@ def paths(start: DataFrame, edges: DataFrame, depth: int, relations: list[str] |
 
 def reach(start: DataFrame, edges: DataFrame, hops: int = 3, budget: int = 200) -> DataFrame:
     """(id, hop) by breadth-first steps along edges, new nodes only, in order of id, budget nodes at most in all."""
+    edges = step(edges.select("source", "target"))  # each hop reads them again
     seen = step(start.select("id").distinct().withColumn("hop", F.lit(0)))
     front = seen
     for hop in range(1, hops + 1):
         room = budget - seen.count()
         if room <= 0:
             break
-        new = front.select(F.col("id").alias("source")).join(edges.select("source", "target"), "source").select(F.col("target").alias("id")).distinct()
+        new = front.select(F.col("id").alias("source")).join(edges, "source").select(F.col("target").alias("id")).distinct()
         front = step(new.join(seen, "id", "left_anti").orderBy("id").limit(room).withColumn("hop", F.lit(hop)))
         if front.isEmpty():
             break
