@@ -528,6 +528,16 @@ def path_target_score(spark, sf_dir):
     return e.join(q, "label").select("vec_id", F.round(F.array_max(F.transform("labels", lambda l: S.cosine(F.col("embedding"), l))), 4).alias("value"))
 
 
+@query("""with m as (select label, list(x order by k) as mean from (select label, k, avg(embedding[k]::double) as x from (select label, embedding, unnest(range(1, len(embedding) + 1)) as k from embeddings where label is not null) group by 1, 2) group by 1)
+    select e.vec_id, round(coalesce(list_cosine_similarity(e.embedding::double[], m.mean), 0), 4) as value from embeddings e left join m on m.label = e.label""")
+def path_target_score_all(spark, sf_dir):
+    """Every vector as a target, its label's vector the mean of all rows of that label; 0 where a target has no label."""
+    e = table(spark, sf_dir, "embeddings")
+    means = e.where("label is not null").select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    q = means.groupBy("label").agg(F.array(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda m: m.x)).alias("labels"))
+    return e.join(q, "label", "left").select("vec_id", F.round(F.coalesce(F.array_max(F.transform("labels", lambda l: S.cosine(F.col("embedding"), l))), F.lit(0.0)), 4).alias("value"))
+
+
 @query(f"with {LINES} select l_orderkey, round(round(0.55::double * (total / n) + 0.25::double * greatest(0.0, 1 - 0.15 * (n - 1))::double, 4), 3) as value from p")
 def path_score(spark, sf_dir):
     return line_paths(spark, sf_dir).select("l_orderkey", F.round(rank.path_score(F.col("sims")), 3).alias("value"))

@@ -1,6 +1,7 @@
 """Every registered graph query against its SQL, on small tables where they are at hand."""
 
 import os
+import random
 
 import pytest
 
@@ -37,5 +38,29 @@ def test_against_sql(spark, name):
     assert sorted([text(r[c]) for c in columns] for r in df.collect()) == sorted([text(r[i]) for i in order] for r in expected.fetchall())
 
 
+def embeddings(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    return str(tmp_path)
+
+
+def cosine(a, b):
+    norms = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    return sum(x * y for x, y in zip(a, b, strict=True)) / norms if norms else None
+
+
+def test_target_scores_cover_all_rows(spark, tmp_path):
+    """Labels that only ids from 10 on have, a null label and a vector without direction have rows, too."""
+    rng = random.Random(1)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)], None if i == 29 else i // 10) for i in range(30)] + [(30, [0.0] * 4, 1)]
+    got = {r.vec_id: r.value for r in plans.QUERIES["path_target_score_all"](spark, embeddings(spark, tmp_path, rows)).collect()}
+    mean = {}
+    for of in (0, 1, 2):
+        own = [v for _, v, label in rows if label == of]
+        mean[of] = [sum(x) / len(own) for x in zip(*own, strict=True)]
+    assert set(got) == {i for i, *_ in rows}
+    for i, v, label in rows:
+        assert abs(got[i] - (0 if label is None else cosine(v, mean[label]) or 0)) < 1e-4
+
+
 def test_entry_has_queries():
     assert set(plans.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
