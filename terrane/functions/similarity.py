@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -76,3 +78,56 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, most_queries: int = 2048) -> DataFrame:
+    """Each query's k nearest of all vectors (both vec_id, embedding) but those of its own id: rows (q, id, place,
+    cosine), by cosine in billionths and then id. Pairs without a cosine (null, zero or of other length) have no row.
+
+    At most most_queries are applied in a pass over the vectors. Each batch keeps k a query, so the window gets few.
+    """
+    queries = queries.select("vec_id", "embedding").where("vec_id is not null and embedding is not null")
+    blocks = max(1, -(-queries.count() // most_queries))
+    found = None
+    for b in range(blocks):
+        block = [tuple(r) for r in queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()]
+        part = vectors.select("vec_id", "embedding").mapInArrow(_nearest_in_batches(block, k), "q long, id long, near long, c double")
+        found = part if found is None else found.union(part)
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "id"))
+    return found.withColumn("place", place.cast("long")).where(F.col("place") <= k).select("q", "id", "place", F.col("c").alias("cosine"))
+
+
+def _nearest_in_batches(queries: list[tuple], k: int, many: int = 256, rows: int = 4096):
+    """A function for mapInArrow: of each batch, each query's k nearest."""
+
+    def matrix(of):
+        """Vectors by length, each as long as 1: (ids, matrix)."""
+        by_length: dict[int, tuple[list, list]] = {}
+        for i, v in of:
+            if i is not None and v is not None and None not in v:
+                ids, vs = by_length.setdefault(len(v), ([], []))
+                ids.append(i)
+                vs.append(v)
+        for n, (ids, vs) in by_length.items():
+            m = np.array(vs, float).reshape(len(vs), n)
+            norm = np.sqrt((m * m).sum(axis=1))
+            some = np.isfinite(norm) & (norm > 0)
+            yield n, np.array(ids, np.int64)[some], m[some] / norm[some, None]
+
+    def near(batches):
+        wanted = {n: (ids, m) for n, ids, m in matrix(queries)}
+        for batch in batches:
+            for low in range(0, batch.num_rows, rows):
+                some = batch.slice(low, rows)
+                for n, ids, m in matrix(zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True)):
+                    q_ids, q = wanted.get(n, (ids[:0], m[:0]))
+                    for at in range(0, len(q_ids), many):
+                        c = q[at : at + many] @ m.T
+                        score = np.floor(c * 1e9 + 0.5).astype(np.int64)
+                        own = q_ids[at : at + many, None] == ids[None, :]
+                        score[own] = -np.iinfo(np.int64).max
+                        i, j = np.arange(len(c))[:, None], np.lexsort((np.broadcast_to(ids, c.shape), -score), axis=1)[:, :k]
+                        i, j = (x[~own[i, j]] for x in np.broadcast_arrays(i, j))
+                        yield pa.RecordBatch.from_arrays([pa.array(q_ids[at + i]), pa.array(ids[j]), pa.array(score[i, j]), pa.array(c[i, j])], names=["q", "id", "near", "c"])
+
+    return near

@@ -6,6 +6,7 @@ import random
 import pytest
 
 import __spark_entry__ as entry
+from terrane.functions import similarity
 from terrane.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -62,5 +63,27 @@ def test_target_scores_cover_all_rows(spark, tmp_path):
         assert abs(got[i] - (0 if label is None else cosine(v, mean[label]) or 0)) < 1e-4
 
 
+@pytest.mark.parametrize("most", [2048, 2])
+def test_nearest_are_of_any_label(spark, tmp_path, most):
+    """A query's nearest have other labels, or it has none; equal vectors go by id, one without direction is no neighbour."""
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(3)], None if i % 40 == 0 else i % 20) for i in range(100)] + [(100, [0.0] * 3, 1), (None, [1.0] * 3, 1), (101, None, 1)]
+    where = embeddings(spark, tmp_path, rows)
+    if most == 2048:
+        out = plans.QUERIES["cosine_topk_all"](spark, where)
+    else:
+        e = spark.read.parquet(f"{where}/embeddings.parquet")
+        out = similarity.nearest(e, e.where("vec_id % 20 = 0"), most_queries=most)
+    got = {}
+    for r in out.orderBy("q", "place").collect():
+        got.setdefault(r.q, []).append((r.id, round(r.cosine, 4)))
+    usable = [(i, v) for i, v, _ in rows if i is not None and v and any(v)]
+    for q, v in usable:
+        if q % 20 == 0:
+            best = sorted((-round(cosine(v, w), 9), i) for i, w in usable if i != q)[:5]
+            assert got.pop(q) == [(i, pytest.approx(-c, abs=1e-4)) for c, i in best]
+    assert not got
+
+
 def test_entry_has_queries():
     assert set(plans.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
