@@ -77,13 +77,11 @@ class Index:
         self.shingles = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
         self.gate = np.zeros(1 << 20, bool)
         self.gate[(self.shingles >> np.uint64(44)).astype(np.int64)] = True
-        self.least = min(self.sizes, default=0)
 
     def matches(self, h: np.ndarray, at: float) -> list[dict]:
-        """Of a text's word hashes: for each item, the window of its size with the highest similarity of at or more."""
+        """Of a text's word hashes: for each item, the window of its size with the highest similarity of at or more;
+        a text that is shorter than the item is one window."""
         out: list[dict] = []
-        if not self.sizes or len(h) < self.least:
-            return out
         for k in {min(self.k, size) for size in self.sizes}:
             if len(h) < k:
                 continue
@@ -97,8 +95,9 @@ class Index:
             sums = None
             for size, (ids, own, prints, near) in self.sizes.items():
                 n = max(1, size - self.k + 1)
-                if min(self.k, size) != k or size > len(h):
+                if min(self.k, size) != k or len(s) / n < at:  # of fewer shingles, at most so many are common
                     continue
+                n = min(n, len(s))
                 marked = np.zeros(len(s) + 1, np.int32)
                 np.add.at(marked, np.maximum(0, hits - n + 1), 1)
                 np.add.at(marked, hits + 1, -1)
@@ -117,7 +116,7 @@ class Index:
                 for i, j in zip(rows[close].tolist(), columns[close].tolist(), strict=True):
                     x = similarity(s[starts[i] : starts[i] + n], own[j])
                     if x >= at and (j not in best or x > best[j]["similarity"]):
-                        best[j] = {"item_id": ids[j], "start": int(starts[i]), "words": size, "similarity": x}
+                        best[j] = {"item_id": ids[j], "start": int(starts[i]), "words": min(size, len(h)), "similarity": x}
                 out += best.values()
         return sorted(out, key=lambda m: m["item_id"])
 
@@ -133,7 +132,8 @@ def item_blocks(benchmark: DataFrame, most_items: int, most_bytes: int):
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, at: float = 0.8, most_items: int = 4096, most_bytes: int = 32_000_000) -> DataFrame:
     """docs with a column matches: for each benchmark item, the document's window of as many words that is most
-    similar to it, if that is at or more (item_id, start and words counted in words, similarity).
+    similar to it, if that is at or more (item_id, start and words counted in words, similarity). A document that is
+    shorter than the item is one window.
 
     Words are lower-cased and without punctuation. Similarity is the weighted Jaccard index of k-word shingles. Items
     with fewer than k words are one shingle; null and empty items and those with a null id match nothing, nor do null,

@@ -229,6 +229,36 @@ def test_decontamination(spark):
     assert decontaminate.with_matches(docs_of(spark, texts), benchmark.limit(0)).where(decontaminate.clean()).count() == len(texts)
 
 
+def test_decontamination_of_texts_shorter_than_items(spark):
+    """Items less their first or last words, some with changed words: the whole text is the window."""
+    rng = random.Random(90)
+    items = [words(rng, n) for n in (2, 4, 5, 9, 13, 30, 50, 55)] + ["zz " * 20]
+    texts = ["", "zz " * 17, "zz " * 3]
+    for item in items:
+        y = item.split()
+        for cut in range(len(y)):
+            w = y[:-cut or None] if cut % 2 else y[cut:]
+            texts.append(" ".join(w))
+            w[rng.randrange(len(w))] = "changed"
+            texts.append(" ".join(w))
+    benchmark = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    cut_short = 0
+    for r in decontaminate.with_matches(docs_of(spark, texts), benchmark).collect():
+        w, expected = plain(r.text), {}
+        for i, item in enumerate(items):
+            y = plain(item)
+            k = min(5, len(y))
+            shingles = lambda of: collections.Counter(tuple(of[p : p + k]) for p in range(len(of) - k + 1))  # noqa: E731, B023
+            windows = [w[p : p + len(y)] for p in range(max(1, len(w) - len(y) + 1))]
+            best = max(sum((shingles(x) & shingles(y)).values()) / sum((shingles(x) | shingles(y)).values()) for x in windows)
+            if best >= 0.8:
+                expected[i] = best
+                cut_short += len(w) < len(y)
+        assert {m.item_id: m.similarity for m in r.matches} == pytest.approx(expected)
+        assert all(m.start + m.words <= len(w) for m in r.matches)
+    assert cut_short > 20
+
+
 # Archives
 
 
