@@ -162,7 +162,8 @@ def evidence(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[str], toxic: np.ndarray, p_value: float = 1e-8, reach: int = 16, rounds: int = 100) -> Model:
     """Learns from whole labelled texts. A token is labelled toxic if it has a feature whose presence goes with toxic
-    texts (its chance among texts labelled alike is under p_value) and its text is toxic; the others are clean."""
+    texts (more than 0.6 of its texts are toxic, at twice the odds of all texts or more; its chance among texts labelled alike
+    is under p_value) and its text is toxic; the others are clean."""
     model = Model(base_rate=float(toxic.mean()) if len(toxic) else 0.0)
     if not 0 < model.base_rate < 1:
         return model
@@ -189,7 +190,8 @@ def fit(texts: list[str], toxic: np.ndarray, p_value: float = 1e-8, reach: int =
     q, p0 = toxic_n / n, model.base_rate
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.nan_to_num(q * np.log(q / p0)) + np.nan_to_num((1 - q) * np.log((1 - q) / (1 - p0)))
-    chosen = some[(q > max(0.6, 2 * p0)) & (n * gain > -np.log(p_value))]
+    likelier = q * (1 - p0) > 2 * p0 * (1 - q)  # twice the odds of all texts: can be met at every base rate
+    chosen = some[(q > 0.6) & likelier & (n * gain > -np.log(p_value))]
     if not len(chosen):
         return model
     slot = np.full(BUCKETS, -1, np.int32)

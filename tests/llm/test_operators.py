@@ -346,6 +346,23 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.3, 0.5, 0.7, 0.9])
+def test_toxicity_at_any_base_rate(share):
+    """Balanced and mostly toxic labels teach as well as rare ones do."""
+    rng = random.Random(130)
+    texts, toxic = [], []
+    for i in range(2400):
+        w, bad = words(rng, rng.randrange(5, 80)).split(), rng.random() < share
+        for _ in range(rng.randrange(1, 4) if bad else 0):
+            w.insert(rng.randrange(len(w) + 1), rng.choice(["nasty", "awful!", "vequ" + rng.choice(["ta", "no", "rel", "mi"])]))
+        texts.append(" ".join(w))
+        toxic.append(int(bad))
+    model = toxicity.fit(texts[:1800], np.array(toxic[:1800]))
+    evidence, *_ = toxicity.tagged([t.split() for t in texts[1800:]], model)
+    score, y = model.score(evidence), np.array(toxic[1800:])
+    assert model.weights and ((score >= 0.7) == y).mean() >= 0.97 and (score[y == 0] < 0.7).mean() >= 0.97
+
+
 def test_chain_marginals_match_enumeration():
     rng = np.random.default_rng(14)
     model = toxicity.Model(enter=-0.7, stay_toxic=0.4, leave=0.2, stay_clean=0.9)
