@@ -12,14 +12,30 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where the session names none, as in tests."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints").rstrip("/")
+    """The folder that the cluster shares. One of our own only where the session names none and all its tasks run in
+    this process, as in tests; a cluster has to name one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not (spark.sparkContext.master or "").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or "file:///tmp/checkpoints").rstrip("/")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or with lines after it as many as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Tables that steps wrote and that weren't dropped yet.
+MADE: list[Written] = []
+
+
 class Written:
     """A step's table, written to the shared folder: lost executors lose nothing, and no step is computed twice."""
 
@@ -27,14 +43,24 @@ class Written:
         self.spark, self.path = df.sparkSession, fresh_path(df.sparkSession, tag)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        MADE.append(self)
 
     def drop(self) -> None:
         """Only after nothing that is still to be read depends on it."""
+        if self in MADE:
+            MADE.remove(self)
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(before: int = 0, keep: DataFrame | None = None) -> None:
+    """Drops the tables written since `before` (a length of MADE), once their readers' results are written themselves."""
+    for table in MADE[before:]:
+        if table.df is not keep:
+            table.drop()
+
+
 def trim() -> None:
     """Gives freed memory back: Python workers stay for the next tasks, beside the executor's JVM."""
     import pyarrow as pa

@@ -6,19 +6,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, lean, release
+from .common import Written, lean, release, unused
 from .shingles import mix
 
 GRAM = 24
-SCANNED, TRANSFORMED = 1_000_000, 500_000  # bytes at once (more where one text or fingerprint has more)
+SCANNED, TRANSFORMED = 100_000, 500_000  # bytes at once (more where one text or fingerprint has more)
+MOST_BYTES = 2_000_000  # of one fingerprint's pieces in a transform; beyond, they are dealt by more of their bytes
 STRETCH = 8  # windows
 SEPARATOR = 0xFF  # no byte of UTF-8
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-NO_DOC = 2**63 - 1
+BASES = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)))
+POWERS: dict[np.uint64, np.ndarray] = {}
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -26,35 +26,39 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
     w = b.astype(np.uint64)
     for k in (1, 2, 4):
         w = w[:-k] | (w[k:] << np.uint64(8 * k))
-    return mix(w[:-16] * BASE + (w[8:-8] ^ np.uint64(0x1234567)) * np.uint64(0xC2B2AE3D27D4EB4F) + w[16:] * np.uint64(0x165667B19E3779F9))
+    return mix(w[:-16] * BASES[0] + (w[8:-8] ^ np.uint64(0x1234567)) * np.uint64(0xC2B2AE3D27D4EB4F) + w[16:] * np.uint64(0x165667B19E3779F9))
 
 
 def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
-    n = len(h) - w + 1
-    padded = np.full(-(-len(h) // w) * w, np.uint64(2**64 - 1))
-    padded[: len(h)] = h
-    blocks = padded.reshape(-1, w)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
+    """The least of the w values from each place, by minima of twice as many at a time."""
+    size = 1
+    while 2 * size <= w:
+        h, size = np.minimum(h[:-size], h[size:]), 2 * size
+    return h if size == w else np.minimum(h[: size - w], h[w - size :])
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """The first n powers of an odd number, modulo 2 ** 64; kept for the next texts."""
+    if len(POWERS.get(base, ())) < n:
+        out = np.full(2 * n, base)
+        out[:1] = 1
+        POWERS[base] = np.multiply.accumulate(out)
+    return POWERS[base][:n]
 
 
-def ranges(h: np.ndarray, starts: np.ndarray, n: int | np.ndarray, forth: np.ndarray, back: np.ndarray) -> np.ndarray:
+def ranges(h: np.ndarray, starts: np.ndarray, n: int | np.ndarray, base: np.uint64 = BASES[0]) -> np.ndarray:
     """A hash of the gram hashes from each start on, n of them, whatever their place."""
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * forth[: len(h)], dtype=np.uint64)))
+    sums = np.empty(len(h) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(h * powers(base, len(h)), out=sums[1:])
+    back = powers(np.uint64(pow(int(base), -1, 2**64)), len(h))
     return mix((sums[starts + n] - sums[starts]) * back[starts])
 
 
 def runs(b: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end: (text, start, n, fingerprint, content, inner), a row for each longest run of n windows
-    of length bytes, all in one text, that have the same least gram hash. content is a hash of the run's
-    n + length - 1 bytes.
+    """Of texts laid end to end: (text, start, n, fingerprint, content, content2, inner), a row for each longest run of
+    n windows of length bytes, all in one text, that have the same least gram hash. The contents are two hashes of the
+    run's n + length - 1 bytes, 128 bits together.
 
     Equal windows have equal fingerprints, wherever they are. Two of one run (inner) can be equal only where the run
     goes on after a window that starts with the gram: the gram is then in it again.
@@ -62,21 +66,22 @@ def runs(b: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]
     begins = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
     if len(b) < length:
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(np.uint64), z.astype(np.uint64), z.astype(bool)
+        return z, z, z, *[z.astype(np.uint64)] * 3, z.astype(bool)
     h = gram_hashes(b)
     least = sliding_min(h, length - GRAM + 1)
-    cut = np.concatenate((np.ones(1, bool), least[1:] != least[:-1]))
+    cut = np.ones(len(least) + 1, bool)
+    np.not_equal(least[1:], least[:-1], out=cut[1:-1])
     for at in (begins, np.maximum(begins, ends - length + 1)):
         cut[at[at < len(cut)]] = True
-    start = np.flatnonzero(cut)
-    goes_on = (h[: len(least)] == least) & ~np.append(cut[1:], True)
+    start = np.flatnonzero(cut[:-1])
+    goes_on = (h[: len(least)] == least) & ~cut[1:]
     inner = np.logical_or.reduceat(goes_on, start)
-    n = np.diff(np.append(start, len(cut)))
+    n = np.diff(np.append(start, len(least)))
     text = np.searchsorted(ends, start, side="right")
     ok = start + length <= ends[text]
     text, start, n, inner = text[ok], start[ok], n[ok], inner[ok]
-    content = ranges(h, start, n + length - GRAM, powers(BASE, len(h)), powers(INVERSE, len(h)))
-    return text, start - begins[text], n, least[start], content ^ mix(n.astype(np.uint64)), inner
+    one, two = (ranges(h, start, n + length - GRAM, base) ^ mix(n.astype(np.uint64)) for base in BASES)
+    return text, start - begins[text], n, least[start], one, two, inner
 
 
 def chunks_of(column, most: int):
@@ -93,34 +98,37 @@ def chunks_of(column, most: int):
         i = j
 
 
+def changes(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
 def suffix_order(b: np.ndarray, depth: int) -> np.ndarray:
     """Places in b by their suffixes' first bytes, depth of them at least; b ends in enough separators."""
     n = len(b)
-    padded = np.concatenate((b, np.full(8, SEPARATOR, np.uint8))).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key |= padded[k : k + n] << np.uint64(56 - 8 * k)
-    order = np.argsort(key)
-    new = np.concatenate((np.ones(1, bool), key[order][1:] != key[order][:-1]))
-    rank = np.empty(n + 1, np.int64)
+    padded = np.concatenate((b, np.full(8, SEPARATOR, np.uint8)))
+    key = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]).view(">u8").ravel().astype(np.uint64)
+    order = np.argsort(key).astype(np.int32)
+    new = changes(key[order])
+    rank = np.empty(n + 1, np.int32)
     rank[n] = n
-    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[order] = first
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
     known = 8
     while known < depth:
         # Only suffixes that share their known bytes with a neighbour are sorted on.
         tied = ~(new & np.append(new[1:], True))
-        slots = np.flatnonzero(tied)
+        slots = np.flatnonzero(tied).astype(np.int32)
         if not len(slots):
             break
         places = order[slots]
-        key = (rank[places] << 32) | rank[np.minimum(places + known, n)]
+        key = (rank[places].astype(np.int64) << 32) | rank[np.minimum(places + known, n)]
         by = np.argsort(key)
-        places, key = places[by], key[by]
+        places, differs = places[by], changes(key[by])
         order[slots] = places
-        differs = np.concatenate((np.ones(1, bool), key[1:] != key[:-1]))
         new[slots] |= differs
-        rank[places] = slots[np.maximum.accumulate(np.where(differs, np.arange(len(slots)), 0))]
+        rank[places] = slots[np.maximum.accumulate(np.where(differs, np.arange(len(slots), dtype=np.int32), 0))]
         known *= 2
     return order
 
@@ -132,21 +140,22 @@ def prefix_bounds(bwt: np.ndarray, length: int) -> np.ndarray:
     prefixes turn up by increasing value; an interval goes on only if its end was unknown. Stops at length.
     """
     n = len(bwt)
-    by_byte = np.argsort(bwt, kind="stable")
-    lf = np.empty(n, np.int64)
-    lf[by_byte] = np.arange(n)
-    same = bwt[by_byte][1:] == bwt[by_byte][:-1]
-    after, before = np.full(n, n, np.int64), np.full(n, -1, np.int64)
+    by_byte = np.argsort(bwt, kind="stable").astype(np.int32)
+    lf = np.empty(n, np.int32)
+    lf[by_byte] = np.arange(n, dtype=np.int32)
+    same = ~changes(bwt[by_byte])[1:]
+    after, before = np.full(n, n, np.int32), np.full(n, -1, np.int32)
     after[by_byte[:-1][same]] = by_byte[1:][same]
     before[by_byte[1:][same]] = by_byte[:-1][same]
     known = np.zeros(n + 1, bool)
     known[0] = known[n] = True
-    low, high = np.zeros(1, np.int64), np.full(1, n, np.int64)
+    low, high = np.zeros(1, np.int32), np.full(1, n, np.int32)
     for _ in range(length):
         if not len(low):
             break
         sizes = high - low
-        rows = np.repeat(low - np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+        ends = np.cumsum(sizes, dtype=np.int32)
+        rows = np.repeat(low - ends + sizes, sizes) + np.arange(ends[-1], dtype=np.int32)
         lasts = np.sort(lf[rows[after[rows] >= np.repeat(high, sizes)]]) + 1
         firsts = np.sort(lf[rows[before[rows] < np.repeat(low, sizes)]])
         new = ~known[lasts]
@@ -184,36 +193,55 @@ def spans_of(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def place_columns() -> tuple[Column, Column, Column]:
+    """A document's place (doc, turn), and its text. Rows of equal doc_id and different texts have different turns; a
+    null doc_id is one of its own for each text, from 2 ** 62 on."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    alone = F.shiftrightunsigned(F.xxhash64(text, F.lit(7)), 2).bitwiseOR(F.lit(2**62))
+    return F.coalesce(F.col("doc_id").cast("long"), alone), F.xxhash64(text), text
+
+
 def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """runs() of all documents: (doc, start, n, fp, sh, inner)."""
+    """runs() of all documents: (doc, turn, at, fp, sh, sh2); at holds start, n and inner."""
+    names = ["doc", "turn", "at", "fp", "sh", "sh2"]
 
     @lean
     def scan(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for row, b, ends in chunks_of(batch.column(1), SCANNED):
-                text, start, n, fp, sh, inner = runs(b, ends, length)
-                columns = [ids[row + text], start.astype(np.int32), n.astype(np.int32), fp.view(np.int64), sh.view(np.int64), inner]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "start", "n", "fp", "sh", "inner"])
+            ids, turns = (batch.column(i).to_numpy() for i in (0, 1))
+            for row, b, ends in chunks_of(batch.column(2), SCANNED):
+                text, start, n, fp, sh, sh2, inner = runs(b, ends, length)
+                at = start << 16 | n << 1 | inner
+                columns = [ids[row + text], turns[row + text], at, fp.view(np.int64), sh.view(np.int64), sh2.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return docs.select("doc", "turn", "text").mapInArrow(scan, ", ".join(f"{n} long" for n in names))
+
+
+def start_of(at: str = "at") -> Column:
+    return F.shiftright(at, 16)
+
+
+def n_of(at: str = "at") -> Column:
+    return F.shiftright(at, 1).bitwiseAND(F.lit(0x7FFF))
+
 
-    return docs.select("doc", "text").mapInArrow(scan, "doc long, start int, n int, fp long, sh long, inner boolean")
+def inner_of(at: str = "at") -> Column:
+    return F.col(at).bitwiseAND(F.lit(1)) == 1
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Of the runs wanted (doc, fp, start, n, crowded): (fp, doc, start, bytes) of each.
+    """Of the runs wanted (doc, turn, fp, start, n, crowded): (fp, doc, turn, start, n, bytes, stretch) of each.
 
     Crowded runs are cut into stretches of STRETCH windows, by the windows' distance from their gram, and fp is a hash
     of the bytes that all windows of a full stretch share. Equal windows have their gram at the same distance and so
-    share that, too. These rows also have n, a hash sh of their own bytes, and hashes of their windows. Crowded runs
-    that hold their gram twice are cut into single windows.
+    share that, too. Crowded runs that hold their gram twice are cut into single windows.
     """
-    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("fp", "start", "n", "crowded")).alias("runs"))
+    by_doc = wanted.groupBy("doc", "turn").agg(F.collect_list(F.struct("fp", "start", "n", "crowded")).alias("runs"))
     grams = length - GRAM + 1
 
     def stretches(b: bytes, fp, start, n):
-        h = gram_hashes(np.frombuffer(b, np.uint8))
-        forth, back = powers(BASE, len(h)), powers(INVERSE, len(h))
-        out = []
+        h, out = gram_hashes(np.frombuffer(b, np.uint8)), []
         for f, s, k in zip(fp.view(np.uint64), start.tolist(), n.tolist(), strict=True):
             at = np.flatnonzero(h[s : s + k + grams - 1] == f) + s
             gram = at[np.searchsorted(at, np.arange(s, s + k))]  # the first in each window
@@ -222,124 +250,129 @@ def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             out.append((begin, s + first, many))
         begin, first, many = (np.concatenate(c) for c in zip(*out, strict=True))
         # A full stretch starts at begin; from its last window's start its windows share length - STRETCH + 1 bytes.
-        key = ranges(h, begin + STRETCH - 1, grams - STRETCH + 1, forth, back)
-        own = ranges(h, first, many + grams - 1, forth, back) ^ mix(many.astype(np.uint64) << np.uint64(1))
-        every = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        windows = np.split(ranges(h, every, grams, forth, back).view(np.int64), np.cumsum(many)[:-1])
-        return key.view(np.int64), first, many, own.view(np.int64), windows
+        return ranges(h, begin + STRETCH - 1, grams - STRETCH + 1).view(np.int64), first, many
 
     @lean
     def cut(batches):
         for batch in batches:
-            for doc, b, runs_ in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
+            rest = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3), strict=True)
+            for doc, turn, b, runs_ in rest:
                 rows = runs_.values
                 fp, start, n, crowded = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-                start, n = start.astype(np.int64), n.astype(np.int64)
-                own = np.flatnonzero(~crowded)
-                at, many, keys, sh, windows = start[own], n[own], fp[own], [None] * len(own), [None] * len(own)
+                keys, at, many = fp[~crowded], start[~crowded], n[~crowded]
+                whole = len(keys)
                 if crowded.any():
-                    key2, at2, many2, sh2, windows2 = stretches(b, fp[crowded], start[crowded], n[crowded])
-                    at, many, keys = np.concatenate((at, at2)), np.concatenate((many, many2)), np.concatenate((keys, key2))
-                    sh, windows = sh + sh2.tolist(), windows + windows2
+                    more = stretches(b, fp[crowded], start[crowded], n[crowded])
+                    keys, at, many = (np.concatenate(c) for c in zip((keys, at, many), more, strict=True))
                 pieces = [b[s : s + k + length - 1] for s, k in zip(at.tolist(), many.tolist(), strict=True)]
-                columns = [pa.array(keys), pa.array(np.full(len(at), doc, np.int64)), pa.array(at), pa.array(many), pa.array(pieces, pa.binary()), pa.array(sh, pa.int64()), pa.array(windows, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["fp", "doc", "start", "n", "bytes", "sh", "windows"])
+                same = [pa.array(np.full(len(at), x, np.int64)) for x in (doc, turn)]
+                columns = [pa.array(keys), *same, pa.array(at), pa.array(many), pa.array(pieces, pa.binary()), pa.array(np.arange(len(at)) >= whole)]
+                yield pa.RecordBatch.from_arrays(columns, names=["fp", "doc", "turn", "start", "n", "bytes", "stretch"])
 
-    schema = "fp long, doc long, start long, n long, bytes binary, sh long, windows array<long>"
-    return docs.join(by_doc, "doc").select("doc", "text", "runs").mapInArrow(cut, schema)
+    schema = "fp long, doc long, turn long, start long, n long, bytes binary, stretch boolean"
+    return docs.join(by_doc, ["doc", "turn"]).select("doc", "turn", "text", "runs").mapInArrow(cut, schema)
 
 
 def transformed(pieces: DataFrame, length: int) -> DataFrame:
-    """Spans (doc, start, end) of the pieces' bytes that an earlier piece of the same fingerprint has, too."""
+    """Spans (doc, turn, start, end) of the pieces' bytes that an earlier piece of the same fingerprint has, too."""
 
     @lean
     def expand(batches):
         held, size, last = [], 0, None
 
         def flush():
-            rows = sorted(held, key=lambda r: (r[1], r[2]))
+            rows = sorted(held)
+            rows = [r for r, before in zip(rows, [None, *rows], strict=False) if r != before]  # a document given twice is one
             marks = repeated_starts([r[3] for r in rows], length)
             begins, ends = spans_of(marks)
             sizes = np.array([len(r[3]) + 1 for r in rows])
             first = np.cumsum(sizes) - sizes
             of = np.searchsorted(first, begins, side="right") - 1
-            doc, start = np.array([r[1] for r in rows], np.int64)[of], np.array([r[2] for r in rows], np.int64)[of]
-            columns = [doc, start + begins - first[of], start + ends - 1 - first[of] + length]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "start", "end"])
+            doc, turn, start = (np.array([r[i] for r in rows], np.int64)[of] for i in range(3))
+            columns = [doc, turn, start + begins - first[of], start + ends - 1 - first[of] + length]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "turn", "start", "end"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= TRANSFORMED and row[0] != last:
+            for fp, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size >= TRANSFORMED and fp != last:
                     yield flush()
                     held, size = [], 0
                 held.append(row)
-                size, last = size + len(row[3]), row[0]
+                size, last = size + len(row[3]), fp
         if held:
             yield flush()
 
-    return pieces.repartition("fp").sortWithinPartitions("fp").select("fp", "doc", "start", "bytes").mapInArrow(expand, "doc long, start long, end long")
+    rows = pieces.repartition("fp").sortWithinPartitions("fp").select("fp", "doc", "turn", "start", "bytes")
+    return rows.mapInArrow(expand, "doc long, turn long, start long, end long")
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 200) -> DataFrame:
-    """Spans (doc, start, end) that cover the bytes of docs (doc, text) in a string of length bytes that also starts earlier.
+def repeated_spans(docs: DataFrame, length: int = 100, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Spans (doc, turn, start, end) that cover the bytes of docs (doc, turn, text) in a string of length bytes that
+    also starts earlier: at a smaller (doc, turn), or earlier in the same.
 
     A window's fingerprint is the least hash of the GRAM-byte strings in it, so equal windows share it, and
-    neighbours that share one make a run of about 40 windows. Only runs whose fingerprint occurs twice, or that may repeat within, go on. Runs of
-    equal content collapse to the first, which covers the others. Those left of one fingerprint meet in a
-    Burrows-Wheeler transform. A fingerprint with more than `crowd` contents (where a passage that very many texts
-    share starts or ends) would fill one task: its runs are cut into stretches that are dealt by more of their bytes
-    and do the same. Stretches that are crowded still, at the very edge, collapse window by window by content.
+    neighbours that share one make a run of about 40 windows. Only runs whose fingerprint occurs twice, or that may
+    repeat within, go on. Runs of equal content (by 128 bits, beside the fingerprint's 64) collapse to the first, which
+    covers the others. Those left of one fingerprint meet in a Burrows-Wheeler transform, which compares bytes.
+
+    A fingerprint may have more bytes of different contents than a task should hold (most_bytes): the edge of a passage
+    that very many texts share. Such runs are cut into stretches that are dealt by more of their bytes, equal ones
+    collapse by their bytes, and the others meet in transforms like all. Where a stretch has too many still, its
+    windows are dealt by all of their bytes: rows of one interval, and no others, then have the same key.
     """
     spark = docs.sparkSession
+    place = ["doc", "turn"]
     found = Written(anchors(docs, length), "suffix-runs")
-    again = found.df.groupBy("fp").agg(F.count(F.lit(1)).alias("times"), F.max("inner").alias("within")).where("times > 1 or within").select("fp")
+    again = found.df.groupBy("fp").agg(F.count(F.lit(1)).alias("times"), F.max(inner_of()).alias("within")).where("times > 1 or within").select("fp")
     runs_ = Written(found.df.join(again, "fp"), "suffix-again")
     del again
     found.drop()
     release(spark)
-    firsts = runs_.df.groupBy("fp", "sh").agg(F.min(F.struct("doc", "start")).alias("first"), F.any_value("n").alias("n"), F.max("inner").alias("inner"))
-    kept_firsts = Written(firsts, "suffix-firsts")
+    content = ["fp", "sh", "sh2"]
+    at = F.struct(*place, "at")
+    kept_firsts = Written(runs_.df.groupBy(*content).agg(F.min(at).alias("first")), "suffix-firsts")
     firsts = kept_firsts.df
-    copies = runs_.df.join(firsts.select("fp", "sh", "first"), ["fp", "sh"]).where(F.struct("doc", "start") != F.col("first"))
-    copies = copies.select("doc", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n") + (length - 1)).cast("long").alias("end"))
-    kept_copies = Written(copies, "suffix-copies")
+    ends = lambda n: (F.col("start") + n + (length - 1)).alias("end")
+    copies = runs_.df.join(firsts, content).where(at != F.col("first")).withColumn("start", start_of())
+    kept_copies = Written(copies.select(*place, "start", ends(n_of())), "suffix-copies")
     runs_.drop()
     release(spark)
-    shape = firsts.groupBy("fp").agg(F.count(F.lit(1)).alias("contents"), F.max("inner").alias("within")).where("contents > 1 or within")
-    mixed = firsts.join(shape.select("fp", (F.col("contents") > crowd).alias("crowded")), "fp").select("fp", "first.doc", "first.start", "n", "crowded")
+    sized = firsts.select("fp", "first.*").select("fp", *place, start_of().alias("start"), n_of().alias("n"), inner_of().alias("inner"))
+    shape = sized.groupBy("fp").agg(F.count(F.lit(1)).alias("contents"), F.sum(F.col("n") + (length - 1)).alias("size"), F.max("inner").alias("within")).where("contents > 1 or within")
+    mixed = sized.join(shape.select("fp", (F.col("size") > most_bytes).alias("crowded")), "fp").select("fp", *place, "start", "n", "crowded")
     kept_pieces = Written(cut_out(docs, mixed, length), "suffix-pieces")
     pieces = kept_pieces.df
     kept_firsts.drop()
     release(spark)
-    plain = pieces.where("sh is null").select("fp", "doc", "start", "bytes")
-    stretches = pieces.where("sh is not null")
-    heads = stretches.groupBy("fp", "sh").agg(F.min(F.struct("doc", "start")).alias("first"), F.any_value("bytes").alias("bytes"), F.any_value("windows").alias("windows"))
-    kept_heads = Written(heads, "suffix-heads")
+    plain = pieces.where("not stretch").select("fp", *place, "start", "bytes")
+    stretches, at = pieces.where("stretch"), F.struct(*place, "start")
+    kept_heads = Written(stretches.groupBy("fp", "bytes").agg(F.min(at).alias("first"), F.any_value("n").alias("n")), "suffix-heads")
     heads = kept_heads.df
-    copies2 = stretches.select("fp", "sh", "doc", "start", "n").join(heads.select("fp", "sh", "first"), ["fp", "sh"]).where(F.struct("doc", "start") != F.col("first"))
-    copies2 = copies2.select("doc", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))
-    shape2 = heads.groupBy("fp").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("fp", (F.col("contents") > crowd).alias("crowded"))
-    mixed2 = heads.join(shape2, "fp").select("fp", "first.doc", "first.start", "bytes", "windows", "crowded")
-    plain = plain.unionByName(mixed2.where("not crowded").select("fp", "doc", "start", "bytes"))
-    windows = mixed2.where("crowded").select("doc", F.col("start").alias("from"), F.posexplode("windows").alias("i", "window"))
-    windows = windows.select("doc", (F.col("from") + F.col("i")).alias("start"), "window")
-    seen = windows.groupBy("window").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "start")).alias("first")).where("times > 1")
-    single = windows.join(seen, "window").where(F.struct("doc", "start") != F.col("first")).select("doc", "start", (F.col("start") + length).alias("end"))
+    copies2 = stretches.join(heads.select("fp", "bytes", "first"), ["fp", "bytes"]).where(at != F.col("first")).select(*place, "start", ends(F.col("n")))
+    shape2 = heads.groupBy("fp").agg(F.count(F.lit(1)).alias("contents"), F.sum(F.length("bytes")).alias("size"))
+    shape2 = shape2.where("contents > 1").select("fp", (F.col("size") > most_bytes).alias("crowded"))
+    mixed2 = heads.join(shape2, "fp").select("fp", "first.*", "n", "bytes", "crowded")
+    plain = plain.unionByName(mixed2.where("not crowded").select("fp", *place, "start", "bytes"))
+    windows = mixed2.where("crowded").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    windows = windows.select(*place, (F.col("start") + F.col("i")).alias("start"), F.substring("bytes", F.col("i") + 1, F.lit(length)).alias("window"))
+    seen = windows.groupBy("window").agg(F.count(F.lit(1)).alias("times"), F.min(at).alias("first")).where("times > 1").drop("times")
+    single = windows.join(seen, "window").where(at != F.col("first")).select(*place, "start", (F.col("start") + length).alias("end"))
     out = Written(kept_copies.df.unionByName(copies2).unionByName(single).unionByName(transformed(plain, length)), "suffix-spans").df
-    del copies, copies2, single, pieces, plain, stretches, heads, shape, shape2, mixed, mixed2, windows, seen, firsts
+    del copies, copies2, single, pieces, plain, stretches, heads, sized, shape, shape2, mixed, mixed2, windows, seen, firsts
     for kept in (kept_copies, kept_pieces, kept_heads):
         kept.drop()
     release(spark)
     return out
 
 
-def with_spans(docs: DataFrame, length: int) -> DataFrame:
-    """docs with a column spans, of start << 32 | end, null where nothing repeats."""
-    keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)))
-    spans = repeated_spans(keyed.select(F.col("__doc").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), length)
-    packed = (F.shiftleft("start", 32) + F.col("end")).alias("span")
-    by_doc = spans.select(F.col("doc").alias("__doc"), packed).groupBy("__doc").agg(F.collect_list("span").alias("spans"))
-    return keyed.join(by_doc, "__doc", "left").drop("__doc")
+def with_spans(docs: DataFrame, length: int) -> tuple[DataFrame, str]:
+    """docs with a column of spans, as start << 32 | end, null where nothing repeats; and its name."""
+    doc, turn, text = place_columns()
+    name, doc_name, turn_name = (unused(docs, c) for c in ("spans", "doc", "turn"))
+    spans = repeated_spans(docs.select(doc.alias("doc"), turn.alias("turn"), text.alias("text")), length)
+    by_doc = spans.select("doc", "turn", (F.shiftleft("start", 32) + F.col("end")).alias("span")).groupBy("doc", "turn").agg(F.collect_list("span").alias("spans"))
+    by_doc = by_doc.select(F.col("doc").alias(doc_name), F.col("turn").alias(turn_name), F.col("spans").alias(name))
+    return docs.withColumns({doc_name: doc, turn_name: turn}).join(by_doc, [doc_name, turn_name], "left").select(*docs.columns, name), name
 
 
 def kept_of(raw: bytes, spans) -> tuple[bytes, int, int]:
@@ -363,9 +396,11 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """Removes every byte that a string of length bytes covers which also starts earlier: in a document of smaller
     doc_id, or earlier in the same one. Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary).
 
-    Null text is empty and loses nothing, like texts under length bytes. Matches don't cross documents. Rows of equal
-    doc_id are one document given twice: neither is earlier than the other. A null doc_id comes last. An empty table
-    gives no rows; other columns aren't read.
+    Null text is empty and loses nothing, like texts under length bytes; very long texts are read whole. Matches don't
+    cross documents. Rows of equal doc_id and text are one document given twice: neither is earlier than the other, and
+    both lose the same. Rows of equal doc_id and different texts are different documents, in the order of a hash of
+    their texts; so are rows with a null doc_id, after those under 2 ** 62. An empty table gives no rows; other columns
+    aren't read.
     """
 
     @lean
@@ -381,20 +416,22 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    rows = with_spans(docs.select("doc_id", "text"), length).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "spans")
+    rows, name = with_spans(docs.select("doc_id", "text"), length)
+    rows = rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), name)
     return rows.mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """docs with the text that is left, as UTF-8: letters of which a byte was removed go whole. Other columns stay; n_chars
-    follows the text where there is one. Documents that lost all of their text go."""
+    """docs with the text that is left, as UTF-8: letters of which a byte was removed go whole. Documents that lost all
+    of their text go. Other columns stay, whatever their names; n_chars follows the text where there is one. Nulls, odd
+    ids and repeated rows as in remove_repeats; an empty table gives no rows."""
 
     @lean
     def keep(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts, lost = [], []
-            for raw, spans in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column("spans"), strict=True):
+            for raw, spans in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(name), strict=True):
                 if raw is None or not spans.is_valid:
                     texts.append(raw.decode() if raw is not None else None)
                     lost.append(False)
@@ -407,5 +444,6 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             yield batch.filter(pa.array([not x for x in lost])).select(columns)
 
     columns = docs.columns
-    out = with_spans(docs, length).select(*columns, "spans").mapInArrow(keep, docs.schema)
+    rows, name = with_spans(docs, length)
+    out = rows.mapInArrow(keep, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrane.llm import chat, decontaminate, embeddings, minhash, packing, quality, queries, suffix, toxicity, urls, warc
 
@@ -153,10 +154,10 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("crowd", [2, 200])
-def test_repeated_strings(spark, crowd, monkeypatch):
+@pytest.mark.parametrize("most_bytes", [300, suffix.MOST_BYTES])
+def test_repeated_strings(spark, most_bytes, monkeypatch):
     rng = random.Random(6)
-    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (100, crowd))
+    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (100, most_bytes))
     shared = [words(rng, 30), words(rng, 60), "é" * 90 + words(rng, 20)]
     texts = [None, "", "short", "ab" * 300, "x" * 5000, "same line of text here\n" * 40]
     for _ in range(60):
@@ -181,6 +182,27 @@ def test_repeats_on_odd_tables(spark):
     assert all(r.n_chars == len(r.text) for r in left if r.text is not None)
 
 
+@pytest.mark.parametrize("most_bytes", [300, suffix.MOST_BYTES])
+def test_repeats_of_null_and_repeated_ids(spark, most_bytes, monkeypatch):
+    """Rows of one id, or of none, that share only a part with each other or with other documents."""
+    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (100, most_bytes))
+    rng = random.Random(60)
+    shared = [words(rng, 40), words(rng, 30)]
+    rows = [(rng.choice([1, 2, 3, None, None, 50 + i]), " ".join((words(rng, rng.randrange(9)), rng.choice(shared), words(rng, rng.randrange(9))))) for i in range(40)]
+    rows += [rows[0], rows[7], (None, None), (1, ""), (2, shared[0][:30])]
+    schema = "doc_id long, text string, spans int, spans_ int, doc string, turn string, n_chars int"
+    df = spark.createDataFrame([(i, t, 1, 2, "d", "t", len(t or "")) for i, t in rows], schema).repartition(3)
+    place = {(r.doc_id, r.text or ""): (r.doc, r.turn) for r in df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), suffix.place_columns()[0].alias("doc"), suffix.place_columns()[1].alias("turn")).collect()}
+    order = sorted(place, key=place.get)
+    expected = dict(zip(order, brute_repeats([(k, t) for k, (_, t) in enumerate(order)], 100).values(), strict=True))
+    got = suffix.remove_repeats(df).join(df.select("doc_id", "text").limit(0), ["doc_id"], "left").drop("text").collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == collections.Counter((i, *expected[i, t or ""]) for i, t in rows)
+    assert sum(r.n_removed > 0 for r in got) > 20 and all(r.n_removed <= r.n_bytes for r in got)
+    left = suffix.without_repeats(df)
+    assert left.columns == df.columns and {(r.spans, r.spans_, r.doc, r.turn) for r in left.collect()} == {(1, 2, "d", "t")}
+    assert left.count() == sum(not expected[i, t or ""][1] or expected[i, t or ""][1] < expected[i, t or ""][0] for i, t in rows)
+
+
 def test_transform_marks_repeats():
     rng = random.Random(8)
     for _ in range(10):
