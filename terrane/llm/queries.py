@@ -71,7 +71,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chat(table(spark, sf_dir, "conversations"))
+    return chat.format_chat(chat.with_tools(table(spark, sf_dir, "conversations")), chat.SCHEMAS)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +88,4 @@ QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_dedup, op3_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": chat.PLAIN_SQL, "op9_url_filter": urls.sql(RULES)}
+    return {"op8_chat_formatting": chat.TOOLS_SQL, "op9_url_filter": urls.sql(RULES)}
