@@ -281,6 +281,28 @@ def test_decontamination_of_texts_shorter_than_items(spark):
     assert cut_short > 20
 
 
+def test_multi_index_blocks_select():
+    """Few windows of random words pass the blocks; all fingerprints within the radius do."""
+    rng = np.random.default_rng(91)
+    s = rng.integers(0, 2**63, 30_000).astype(np.uint64)
+    x = decontaminate.fingerprints(s, np.arange(20_000), 46)
+    assert (x[::997] == np.concatenate([decontaminate.fingerprints(s[i : i + 46], np.zeros(1, np.int64), 46) for i in range(0, 20_000, 997)])).all()
+    y = np.roll(x, 7000, axis=0)
+    assert (np.bitwise_count(x ^ y) <= decontaminate.NEAR).any(axis=1).mean() < 0.05
+    bits = np.unpackbits(x.view(np.uint8), axis=1)
+    for row in bits:
+        row[rng.choice(decontaminate.BITS, decontaminate.RADIUS, replace=False)] ^= 1
+    assert len(decontaminate.within(x, np.packbits(bits, axis=1).view(np.uint32))) == len(x)
+
+
+def test_decontamination_keeps_other_columns(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f g", 5), (1, None, 6), (1, "x " * 9, 7)], "doc_id long, text string, matches int")
+    bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    rows = decontaminate.with_matches(docs, bench, name="matches_").collect()
+    assert sorted((r.matches, len(r.matches_)) for r in rows) == [(5, 1), (6, 0), (7, 0)]
+    assert decontaminate.with_matches(docs.limit(0), bench).count() == 0
+
+
 # Archives
 
 
@@ -424,6 +446,41 @@ def test_chat(spark):
     assert not chat.fits(True, {"type": "integer"}) and chat.fits([1], {"items": {"minimum": 1}}) and not chat.fits([0], {"items": {"minimum": 1}}) and not chat.fits("a", {"enum": ["b"]})
 
 
+def test_chat_survives_odd_json(spark):
+    call = lambda ident, arguments: json.dumps({"tool_calls": [{"id": ident, "name": "add", "arguments": arguments}]})
+    deep = '{"tool_calls":' + '{"a":' * 100_000 + "1" + "}" * 100_001
+    rows = [
+        (1, 0, "assistant", deep), (1, 1, "assistant", '{"tool_calls":[{"id":"c\\ud800","name":"add","arguments":{"\\ue000":1,"\\ud83d\\ude00":1e2}}]}'), (1, 2, "tool", '{"tool_call_id":"c\\ud800","content":"\\udfff"}'),
+        (1, 3, "assistant", call("n", '{"a": NaN}')), (1, 4, "assistant", '{"tool_calls":[{"id":"m","arguments":{"x":Infinity}}]}'), (1, 5, "assistant", call(7, {"a": 1.0})), (1, 6, "tool", '{"tool_call_id":7,"content":1.50}'),
+        (1, 7, "assistant", '{"tool_calls":[' + "[" * 900 + "]" * 900 + "]}"), (1, 8, "assistant", call("d", "[" * 100_000)),
+    ]
+    got = {r.turn: r for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"add": {"properties": {"a": {"type": "integer"}}}}).collect()}
+    assert json.loads(got[0].json)["content"] == deep and got[0].n_calls == 0
+    assert got[1].json == '{"content":null,"role":"assistant","tool_calls":[{"arguments":{"\U0001f600":100,"\ue000":1},"id":"c\\\\ud800","name":"add"}]}'
+    assert got[2].linked and json.loads(got[2].json)["content"] == "\udfff"
+    assert (got[3].n_calls, got[3].n_valid) == (1, 0) and got[4].n_calls == 0 and json.loads(got[4].json)["content"] == rows[4][3]
+    assert got[5].n_valid == 1 and '"a":1}' in got[5].json and got[6].linked and '"content":1.5,' in got[6].json and len(got) == 9 and got[8].n_valid == 0
+
+
+def test_canonical_numbers_and_typed_enums():
+    forms = {1e21: "1e+21", 1e20: "100000000000000000000", 1.5e300: "1.5e+300", 1e-6: "0.000001", 1.25e-7: "1.25e-7", -0.0: "0", 0.1: "0.1", -12.5: "-12.5", 123456.789: "123456.789"}
+    assert {v: chat.canonical(v) for v in forms} == forms and chat.canonical(chat.loads("[1.0, 1e2, 12345678901234567890]")) == "[1,100,12345678901234567890]"
+    assert not chat.fits(1, {"enum": [True]}) and not chat.fits(True, {"enum": [1]}) and chat.fits(1, {"enum": [1.0, "a"]})
+    assert not chat.fits("x", {"type": "date"}) and chat.fits({"a": [1]}, {"enum": [{"a": [1]}]})
+
+
+def test_chat_query_against_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", None if t == 3 and c == 1 else f'é "{t}"\n' + "x" * (c * 90)) for c in range(4) for t in range(6)] + [(None, 0, "user", "hi"), (9, 0, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = [tuple(r) for r in queries.op8_chat_formatting(spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, con.execute(chat.TOOLS_SQL).fetchall()))
+    assert sum(r[6] for r in got) > 0 and {r[8] for r in got} == {None, True, False}
+
+
 # URLs
 
 
