@@ -14,7 +14,8 @@ from .common import Written, components
 from .shingles import mix
 
 LINKS, BUILD_BEAM, STEP = 32, 32, 4
-TOP = 1024  # nodes of the highest layer, which is searched whole
+TOP = 64  # nodes of the highest layer at most
+MARGIN = 0.02  # under the threshold, so far go walks from link to link
 PART = 4096  # nodes of a graph in a row
 VISITED = 32_000_000  # bytes of visited marks at once
 
@@ -171,41 +172,73 @@ class Graph:
         return beam(queries, start, self.vectors, self.layers[0][1], width)
 
 
-def linked(graph: Graph, queries: np.ndarray, at: float, recall: float, audits: int, width: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) with similarity of about at or more. The beam of a query that fills it with links widens
-    fourfold; all widen while an audit of evenly spread queries against every node finds less than recall of their
-    pairs. Where a wider beam would cost more than a product with all nodes does, it is as wide as the shard."""
-    n, floor = len(graph.vectors), at - 1e-4
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(audits, len(queries))).astype(int))
-    true = queries[sample] @ graph.vectors.T >= floor
-    first, whole = width, lambda w: w >= n or (w > first and w * 64 >= n)
-    while True:
-        if whole(width):
-            out = [np.nonzero(queries[i : i + 512] @ graph.vectors.T >= floor) for i in range(0, len(queries), 512)]
-            return np.concatenate([x + 512 * i for i, (x, _) in enumerate(out)]), np.concatenate([y for _, y in out])
-        todo, w, rows, nodes = np.arange(len(queries)), width, [], []
-        while len(todo):
-            if whole(w):
-                for i in range(0, len(todo), 512):
-                    x, y = np.nonzero(queries[todo[i : i + 512]] @ graph.vectors.T >= floor)
-                    rows.append(todo[i + x])
-                    nodes.append(y)
-                break
-            ids, sims = graph.search(queries[todo], w)
-            full = (ids[:, -1] >= 0) & (sims[:, -1] >= floor - 0.02)
-            x, y = np.nonzero((sims >= floor) & (ids >= 0) & ~full[:, None])
-            rows.append(todo[x])
-            nodes.append(ids[x, y])
-            todo, w = todo[full], w * 4
-        rows, nodes = np.concatenate(rows), np.concatenate(nodes)
-        got = np.zeros(true.shape, bool)
-        slot = np.full(len(queries), -1)
-        slot[sample] = np.arange(len(sample))
-        of = slot[rows] >= 0
-        got[slot[rows[of]], nodes[of]] = True
-        if (got & true).sum() >= recall * true.sum():
-            return rows, nodes
+def spread(graph: Graph, queries: np.ndarray, rows: np.ndarray, nodes: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Beams without a bound: from the pairs (row of queries, node) on, along links to every node that is as near as
+    floor less MARGIN. Returns the pairs of floor or more."""
+    links, n = graph.layers[0][1], len(graph.vectors)
+    seen = np.zeros((len(queries), n + 1), bool)
+    seen[:, n] = True
+    seen[rows, nodes] = True
+    out = []
+    while len(rows):
+        sims = np.einsum("ij,ij->i", graph.vectors[nodes], queries[rows])
+        out.append((rows[sims >= floor], nodes[sims >= floor]))
+        go = sims >= floor - MARGIN
+        rows, nodes = np.repeat(rows[go], LINKS), links[nodes[go]].ravel()
+        nodes = np.where(nodes < 0, n, nodes)
+        new = ~seen[rows, nodes]
+        both = np.unique(rows[new] * n + nodes[new])
+        rows, nodes = both // n, both % n
+        seen[rows, nodes] = True
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (rows, nodes)
+
+
+def linked(graph: Graph, queries: np.ndarray, floor: float, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of queries, node) of similarity floor or more that beams of a width find. A beam that links fill
+    spreads on from them until it has met no more."""
+    ids, sims = graph.search(queries, width)
+    near = (ids >= 0) & (sims >= floor - MARGIN)
+    full = near.all(axis=1)
+    x, y = np.nonzero((sims >= floor) & (ids >= 0) & ~full[:, None])
+    r, c = np.nonzero(near & full[:, None])
+    more = spread(graph, queries, r, ids[r, c].astype(np.int64), floor)
+    return np.concatenate((x, more[0])), np.concatenate((ids[x, y], more[1]))
+
+
+def audited(graph: Graph, queries: np.ndarray, floor: float, recall: float, audits: int, width: int = 16) -> int:
+    """The width of beams with which evenly spread queries find recall of the pairs that a product with all nodes has:
+    doubled until it does. A beam as wide as the shard meets all that can be reached."""
+    sample = queries[np.unique(np.linspace(0, len(queries) - 1, min(audits, len(queries))).astype(int))]
+    step = max(1, VISITED // (8 * len(graph.vectors)))
+    blocks = [sample[i : i + step] for i in range(0, len(sample), step)]
+    true = sum(int((b @ graph.vectors.T >= floor).sum()) for b in blocks)
+    while width < len(graph.vectors) and sum(len(linked(graph, b, floor, width)[0]) for b in blocks) < recall * true:
         width *= 2
+    return width
+
+
+class Forest:
+    """Components of numbered things, and the links that joined them."""
+
+    def __init__(self, n: int):
+        self.up, self.joined = np.arange(n), []
+
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        while True:
+            up = self.up[x]
+            if (up == x).all():
+                return x
+            x = self.up[up]
+
+    def join(self, one: int, others: np.ndarray) -> None:
+        roots, at = np.unique(self.roots(others), return_index=True)
+        own = int(self.roots(np.array([one]))[0])
+        if len(roots) == 1 and roots[0] == own:
+            return
+        self.joined += [(one, int(others[i])) for r, i in zip(roots, at, strict=True) if r != own]
+        least = min(own, int(roots[0]))
+        self.up[roots] = self.up[own] = least
+        self.up[one], self.up[others] = least, least
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -228,14 +261,19 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(read, "vec_id long, dim int, d1 long, d2 long, vec binary")
 
 
-def near_duplicates(vectors: DataFrame, at: float = 0.9, recall: float = 0.999, audits: int = 256, shards: int = 8, most: int = 250_000, chunk: int = 4096) -> DataFrame:
+def near_duplicates(vectors: DataFrame, at: float = 0.9, recall: float = 0.999, audits: int = 256, shards: int = 8, most: int = 250_000) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept) for every vector.
 
     Equal vectors are one class. Classes are dealt to `shards` shards, more if one would have over `most`; each builds
-    its graph. Every class queries every shard, chunk by chunk, and links of a cosine (in double precision) of at or
-    more count. A chunk returns each query's number of links and enough links to join what they join. Recall is
-    audited in every chunk. Null, empty, zero and non-finite vectors link with nothing; vectors of different lengths
-    are never linked; repeated rows count as vectors each; other columns aren't read.
+    its graph. Every class queries every shard. The queries are dealt to as many chunks as there are shards, so the
+    graphs move as often as the queries do, and a task has a shard and a chunk of about its size. Links of a cosine (in
+    double precision) of at or more count, those that the query's own search found. A chunk returns each query's number
+    of links and enough links to join what they join; its pairs exist for some queries at a time only. Recall is audited
+    in every chunk and shard.
+
+    Null, empty, zero and non-finite vectors link with nothing; vectors of different lengths are never linked; repeated
+    rows count as vectors each; a null vec_id links with nothing but equal vectors, whose component it has; an empty
+    table gives no rows; other columns aren't read.
     """
     rows = Written(usable(vectors), "hnsw-rows").df
     classes = Written(
@@ -243,7 +281,7 @@ def near_duplicates(vectors: DataFrame, at: float = 0.9, recall: float = 0.999,
         "hnsw-classes",
     ).df
     n = classes.count()
-    shards, chunks = max(shards, -(-n // most)), max(1, -(-n // chunk))
+    shards = max(shards, -(-n // most))
     sharded = classes.select("dim", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "n", "vec")
 
     def build(table):
@@ -273,41 +311,36 @@ def near_duplicates(vectors: DataFrame, at: float = 0.9, recall: float = 0.999,
         graph = Graph(unit(x), [(np.arange(len(ids)), get("links", np.int32).reshape(len(ids), -1)), *upper])
         own, mult = right.column("id").to_numpy(), right.column("n").to_numpy()
         q = np.frombuffer(b"".join(right.column("vec").to_pylist()), float).reshape(len(own), -1)
-        rows_, nodes = linked(graph, unit(q), at, recall, audits)
-        ok = np.zeros(len(rows_), bool)
         scaled = lambda v: v / np.abs(v).max(axis=1, keepdims=True)
-        qs, xs = scaled(q), scaled(x)
+        qs, xs, qu, floor = scaled(q), scaled(x), unit(q), at - 1e-4
         qn, xn = np.linalg.norm(qs, axis=1), np.linalg.norm(xs, axis=1)
-        for i in range(0, len(rows_), 65536):
-            r, m = rows_[i : i + 65536], nodes[i : i + 65536]
-            ok[i : i + 65536] = np.einsum("ij,ij->i", qs[r], xs[m]) / (qn[r] * xn[m]) >= at
-        rows_, nodes = rows_[ok], nodes[ok]
-        self_ = own[rows_] == ids[nodes]
-        count = np.bincount(rows_[~self_], many[nodes[~self_]], len(own)).astype(np.int64)
+        width = audited(graph, qu, floor, recall, audits)
+        # Queries and nodes as numbers: those of the queries, then those of nodes that are no query here.
+        every, number = np.unique(np.concatenate((own, ids)), return_inverse=True)
+        q_number, x_number = number[: len(own)], number[len(own) :]
+        forest, count = Forest(len(every)), np.zeros(len(own), np.int64)
+        for low in range(0, len(own), step := max(1, min(1024, VISITED // (8 * len(ids))))):
+            rows_, nodes = linked(graph, qu[low : low + step], floor, width)
+            rows_ = rows_ + low
+            ok = np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", qs[r], xs[m]) / (qn[r] * xn[m]) >= at for r, m in ((rows_[i : i + 65536], nodes[i : i + 65536]) for i in range(0, len(rows_), 65536)))])
+            ok &= q_number[rows_] != x_number[nodes]
+            rows_, nodes = rows_[ok], nodes[ok]
+            by = np.argsort(rows_, kind="stable")
+            rows_, nodes = rows_[by], nodes[by]
+            np.add.at(count, rows_, many[nodes])
+            some, first = np.unique(rows_, return_index=True)
+            for i, j, k in zip(some.tolist(), first.tolist(), [*first[1:].tolist(), len(nodes)], strict=False):
+                forest.join(int(q_number[i]), x_number[nodes[j:k]])
         home = np.isin(own, ids)
         count[home] += mult[home] - 1
         # A spanning forest of the links is enough for components.
-        root: dict = {}
-
-        def find(c):
-            while (up := root.get(c, c)) != c:
-                root[c] = root.get(up, up)
-                c = up
-            return c
-
-        a, b = [], []
-        for i, j in zip(own[rows_[~self_]].tolist(), ids[nodes[~self_]].tolist(), strict=True):
-            p, s = find(i), find(j)
-            if p != s:
-                root[max(p, s)] = min(p, s)
-                a.append(i)
-                b.append(j)
+        a, b = ([int(every[p[k]]) for p in forest.joined] for k in (0, 1))
         some = count > 0
         return pa.table({"a": pa.array(np.concatenate((own[some], np.array(a, np.int64)))), "b": pa.array([None] * int(some.sum()) + b, pa.int64()), "n": pa.array(np.concatenate((count[some], np.zeros(len(a), np.int64))))})
 
     empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    asked = classes.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(5)), F.lit(chunks)).cast("int").alias("chunk"), "id", "n", "vec")
-    given = graphs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    asked = classes.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(5)), F.lit(shards)).cast("int").alias("chunk"), "id", "n", "vec")
+    given = graphs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     keys = ["dim", "shard", "chunk"]
     found = Written(given.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(ask, "a long, b long, n long"), "hnsw-links").df
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n_links"))
