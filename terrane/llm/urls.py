@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import Written
 
+TOLERANCE = 1e-4
 #: (verdict, host and path of the rule).
 Rule = tuple[str, str]
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
@@ -43,11 +45,13 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", to.alias("dst")).where("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = TOLERANCE, block: int = 5) -> DataFrame:
     """Personalised PageRank of trust along (src, dst, n), and of distrust against it.
 
     seeds: (host, trust, distrust), what each host restarts with. Returns the same columns. Both kinds move in one
     table, a join and an aggregate a round; sums combine before the shuffle, so a host with many links is no hot spot.
+    Goes on, `block` rounds at a time, until no host's value changes by more than tolerance in a round; as the mass that
+    moves falls by damping each time, that is sure to come.
     """
 
     def share(frm: str, to: str, kind: str) -> DataFrame:
@@ -56,40 +60,49 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
 
     moves = Written(share("src", "dst", "trust").unionByName(share("dst", "src", "distrust")), "url-moves").df
     start = seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "score")).where("score > 0")
-    state = start = Written(start, "url-seeds").df
-    if not moves.isEmpty():
-        for k in range(rounds):
-            sent = state.join(moves, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("w")).alias("score"))
-            state = start.select("kind", "host", "score").unionByName(sent).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-            if k % 5 == 4:
-                state = Written(state, "url-state").df
+    start = Written(start.select("kind", "host", "score", F.lit(0.0).alias("before")), "url-seeds").df
+    state = last = None
+    while not moves.isEmpty():
+        rows = start if state is None else state.df
+        for _ in range(block):
+            sent = rows.join(moves, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("w")).alias("score"), F.lit(0.0).alias("before"))
+            had = rows.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("before"))
+            rows = start.unionByName(sent).unionByName(had).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("before").alias("before"))
+        last, state = state, Written(rows, "url-state")
+        if last is not None:
+            last.drop()
+        if (state.df.agg(F.max(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0) <= tolerance:
+            break
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
-    return state.groupBy("host").agg(of("trust"), of("distrust"))
+    return (start if state is None else state.df).groupBy("host").agg(of("trust"), of("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule], least_distrust: float = 0.25, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[Rule], least_distrust: float = 0.25, damping: float = 0.85, tolerance: float = TOLERANCE) -> DataFrame:
     """Rows (page_id, url, host, path, rule, verdict, trust, distrust) for every page.
 
     A page that a rule fits has the longest rule's verdict. The others have their host's: a host restarts with the
     shares of its pages that allow and block rules fit, both spread over the links, and it is blocked where distrust
-    is least_distrust or more and above trust. Null or odd urls have an empty host, which no rule fits, no link
-    reaches, and which is allowed. Repeated rows are judged each; null html has no links; an empty table gives no
-    rows; other columns aren't read.
+    is least_distrust or more and above trust. Of equally long rules that fit, which have the same text then, the last
+    given counts. Null or odd urls have an empty host, which no rule fits, no link reaches, and which is allowed; very
+    long ones are read whole. Repeated rows and null ids are judged each; null html has no links; an empty table gives
+    no rows; other columns aren't read.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumns({"host": host, "path": path})
     found = rows.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
     fits = lambda v: F.avg(F.when(F.col("found.verdict") == v, 1.0).otherwise(0.0))
     seeds = found.where("host != ''").groupBy("host").agg(fits("allow").alias("trust"), fits("block").alias("distrust"))
-    by_host = propagate(link_edges(rows.select("host", "html")), seeds, damping, rounds)
+    by_host = propagate(link_edges(rows.select("host", "html")), seeds, damping, tolerance)
     judged = found.drop("html").join(by_host, "host", "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
     bad = (F.col("distrust") >= least_distrust) & (F.col("distrust") > F.col("trust"))
     verdict = F.coalesce("found.verdict", F.when(bad, "block").otherwise("allow"))
     return judged.select("page_id", "url", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "trust", "distrust")
 
 
-def sql(rules: Sequence[Rule], least_distrust: float = 0.25, damping: float = 0.85, rounds: int = 10) -> str:
-    """The same in DuckDB's SQL, rounds unrolled."""
+def sql(rules: Sequence[Rule], least_distrust: float = 0.25, damping: float = 0.85, tolerance: float = TOLERANCE) -> str:
+    """The same in DuckDB's SQL. Rounds are unrolled, as many as it takes until less than tolerance of a host's mass is
+    still under way."""
+    rounds = math.ceil(math.log(tolerance) / math.log(damping))
     cases = "\n".join(
         f"when (host = '{at}' or ends_with(host, '.{at}')) and starts_with(path, '/{tail}') then {{'rule': '{rule}', 'verdict': '{verdict}'}}"
         for verdict, rule in sorted(rules, key=lambda r: -len(r[1]))
