@@ -75,45 +75,51 @@ def evidence(weights: list[float] | None) -> Column:
     return F.greatest(F.least(total, F.lit(20.0)), F.lit(-20.0))
 
 
-def shrunk(groups: DataFrame, keys: list[str], prior: Column) -> DataFrame:
-    """groups (keys, n, mean, noise) with posterior: the mean of n documents against a prior worth m of them. m is set
-    by moments: the wider the groups' true means differ, beyond what their sizes explain, the less it is."""
-    centred = groups.withColumn("__prior", prior)
-    total = centred.agg(
-        F.sum(F.col("n") * (F.col("mean") - F.col("__prior")) ** 2).alias("spread"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("noise")).alias("within")
+def worth(groups: DataFrame, prior: Column) -> float:
+    """How many documents a prior is worth to groups (n, mean, noise), by moments: the wider the groups' true means
+    differ, beyond what their sizes explain, the less it is."""
+    total = groups.agg(
+        F.sum(F.col("n") * (F.col("mean") - prior) ** 2).alias("spread"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("noise")).alias("within")
     ).first()
     n, k = float(total["n"] or 0), float(total["k"] or 0)
     within = (total["within"] or 0.0) / n if n else 0.0
     between = max(1e-6, ((total["spread"] or 0.0) - within * k) / n) if n else 1e-6
-    m = max(1.0, within / between)
-    return centred.select(*keys, ((F.col("n") * F.col("mean") + m * F.col("__prior")) / (F.col("n") + m)).alias("posterior"))
+    return max(1.0, within / between)
 
 
 def score(docs: DataFrame, weights: list[float] | None, host: str = "source", part: str = "lang", at: float = 0.5) -> DataFrame:
     """Rows (doc_id, evidence, host_rate, part_rate, score, kept) for every document.
 
-    The classifier's mean probability of a host's documents, over all of them, is shrunk toward the global mean, and
-    that of each part (path) of a host toward its host's; sparse ones go furthest. A document's log odds are its own
-    evidence plus those by which its part's rate is above the global one. kept: score of at or more.
+    The classifier's mean probability of a host's other documents, over all of them, is shrunk toward the global mean,
+    and that of the other documents of its part (path) of the host toward the host's; sparse ones go furthest. A
+    document's log odds are its own evidence plus those by which its part's rate is above the global one; its own
+    evidence takes no part in these rates. kept: score of at or more.
 
-    Null and empty texts have no evidence of their own and score by their part's rate. Null hosts and parts are groups
-    of their own. Repeated rows count each; an empty table gives no rows; other columns aren't read. Groups' sums
-    combine before the shuffle, and rates come back by a join that Spark may split.
+    Null and empty texts have no evidence of their own and score by their part's rate; very long ones are read whole.
+    Null hosts and parts are groups of their own. Repeated rows and null ids count each; an empty table gives no rows;
+    other columns aren't read. Groups' sums combine before the shuffle, and rates come back by a join that Spark may split.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.col(host).cast("string").alias("__host"), F.col(part).cast("string").alias("__part"))
     own = own.select("doc_id", "__host", "__part", (F.length("text") > 0).alias("some"), *features())
     own = Written(own.select("doc_id", "__host", "__part", F.when(F.col("some"), evidence(weights)).otherwise(0.0).alias("evidence")), "quality").df
     p = 1 / (1 + F.exp(-F.col("evidence")))
-    of = lambda keys: own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean"), F.coalesce(F.var_pop(p), F.lit(0.0)).alias("noise"))
-    mean = own.agg(F.avg(p)).first()[0] or 0.5
-    hosts = shrunk(of(["__host"]), ["__host"], F.lit(mean)).withColumnRenamed("posterior", "host_rate")
-    below = of(["__host", "__part"]).join(hosts.withColumnRenamed("__host", "h"), F.col("__host").eqNullSafe(F.col("h"))).drop("h")
-    parts = shrunk(below, ["__host", "__part", "host_rate"], F.col("host_rate")).withColumnRenamed("posterior", "part_rate")
-    parts = parts.select(F.col("__host").alias("h"), F.col("__part").alias("q"), "host_rate", "part_rate")
+    parts = own.groupBy("__host", "__part").agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("sum"), F.sum(p * p).alias("squares"))
+    parts = Written(parts, "quality-parts").df
+    hosts = parts.groupBy(F.col("__host").alias("h")).agg(*(F.sum(c).alias(f"host_{c}") for c in ("n", "sum", "squares")))
+    every = hosts.agg(F.sum("host_sum") / F.sum("host_n")).first()[0]
+    mean = 0.5 if every is None else every
+    shape = lambda pre: (F.col(f"{pre}n").alias("n"), (F.col(f"{pre}sum") / F.col(f"{pre}n")).alias("mean"), F.greatest(F.lit(0.0), F.col(f"{pre}squares") / F.col(f"{pre}n") - (F.col(f"{pre}sum") / F.col(f"{pre}n")) ** 2).alias("noise"))
+    of_host = worth(hosts.select(*shape("host_")), F.lit(mean))
+    both = parts.join(hosts, F.col("__host").eqNullSafe(F.col("h"))).drop("h")
+    whole = (F.col("host_sum") + of_host * F.lit(mean)) / (F.col("host_n") + of_host)
+    of_part = worth(both.select(*shape(""), whole.alias("prior")), F.col("prior"))
+    sums = both.select(F.col("__host").alias("h"), F.col("__part").alias("q"), "n", "sum", "host_n", "host_sum")
+    rows = own.join(sums, F.col("__host").eqNullSafe(F.col("h")) & F.col("__part").eqNullSafe(F.col("q")))
+    rows = rows.withColumn("host_rate", (F.col("host_sum") - p + of_host * F.lit(mean)) / (F.col("host_n") - 1 + of_host))
+    rows = rows.withColumn("part_rate", (F.col("sum") - p + of_part * F.col("host_rate")) / (F.col("n") - 1 + of_part))
     held = lambda c: F.greatest(F.least(c, F.lit(1 - 1e-6)), F.lit(1e-6))
     odds = lambda c: F.log(held(c) / (1 - held(c)))
     z = F.col("evidence") + odds(F.col("part_rate")) - odds(F.lit(mean))
-    out = own.join(parts, F.col("__host").eqNullSafe(F.col("h")) & F.col("__part").eqNullSafe(F.col("q")))
-    scored = out.select("doc_id", "evidence", "host_rate", "part_rate", (1 / (1 + F.exp(-z))).alias("score"))
+    scored = rows.select("doc_id", "evidence", "host_rate", "part_rate", (1 / (1 + F.exp(-z))).alias("score"))
     return scored.withColumn("kept", F.col("score") >= at)
