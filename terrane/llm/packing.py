@@ -133,7 +133,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _round(items: DataFrame, capacity: int) -> DataFrame:
-    """Packs the items (id, size) of each partition: rows (id, bin, at, fill)."""
+    """Packs the items (id, size) of each partition: rows (id, bin, at, fill, part)."""
 
     @lean
     def fit(batches):
@@ -144,9 +144,10 @@ def _round(items: DataFrame, capacity: int) -> DataFrame:
         bins, at, fills = best_fit(sizes, capacity)
         firsts = np.full(len(fills), -1, np.int64)
         firsts[bins[::-1]] = ids[::-1]  # a bin is named by one of its items, so names stay unique
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(firsts[bins]), pa.array(at), pa.array(fills[bins])], names=["id", "bin", "at", "fill"])
+        columns = [ids, firsts[bins], at, fills[bins], np.full(len(ids), TaskContext.get().partitionId(), np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "bin", "at", "fill", "part"])
 
-    return items.select("id", "size").mapInArrow(fit, "id long, bin long, at long, fill long")
+    return items.select("id", "size").mapInArrow(fit, "id long, bin long, at long, fill long, part int")
 
 
 def pack(pieces: DataFrame, capacity: int = 1024, slack: int = 4, task_items: int = 200_000, fan_in: int = 8) -> DataFrame:
@@ -158,15 +159,13 @@ def pack(pieces: DataFrame, capacity: int = 1024, slack: int = 4, task_items: in
     """
     spark = pieces.sparkSession
     items = pieces.where(F.col("length") < capacity).select(F.col("uid").alias("id"), F.col("length").alias("size"))
-    parts = max(1, items.rdd.getNumPartitions())
-    place, n_round = Written(_round(items, capacity), "pack"), 0
-    placed = place.df
-    here = placed
+    here, n_round = Written(_round(items, capacity), "pack").df, 0
+    parts, placed = here.select("part").distinct().count(), here.drop("part")
     while True:
         bins = here.where((F.col("id") == F.col("bin")) & (F.col("fill") < capacity - slack)).select(F.col("bin").alias("id"), F.col("fill").alias("size"))
         n = bins.count()
         # One partition has seen all its bins already.
-        if n < 2 or parts == 1:
+        if n < 2 or parts < 2:
             break
         parts = max(-(-parts // fan_in), -(-n // task_items))
         merged = Written(_round(bins.repartition(parts), capacity), "pack").df

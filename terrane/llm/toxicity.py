@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean
+from .common import lean, unused
 from .shingles import mix
 
 BUCKETS = 1 << 22
@@ -306,12 +306,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
     return fit([t for _, t, _ in got], np.array([int(y > 0) for *_, y in got], int))
 
 
-def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """docs with columns score (double, 0 to 1) and spans (start, end in letters, probability) of runs of tokens that
-    are toxic with probability least or more.
+def score(docs: DataFrame, model: Model, least: float = 0.5, names: tuple[str, str] = ("score", "spans")) -> DataFrame:
+    """docs with two columns of these names: a score (double, 0 to 1), and spans (start, end in letters, probability) of
+    runs of tokens that are toxic with probability least or more.
 
-    Null and empty texts have no evidence and the score of none. Texts are read whole at any length; rows are scored
-    each; an empty table gives none. Other columns stay.
+    Null and empty texts have no evidence and the score of none. Texts are read whole at any length; repeated rows and
+    null ids are scored each; an empty table gives none. Other columns stay; those that have the names are replaced, so
+    give others (common.unused finds some) where they should stay, too.
     """
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("probability", T.DoubleType())])
 
@@ -329,13 +330,14 @@ def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
                     for k in np.unique(np.searchsorted(ends, np.flatnonzero(p >= least), side="right")):
                         spans[of[k]] = offending(texts[of[k]], p[ends[k] - lengths[k] : ends[k]], least)
             out = [*batch.select(columns).columns, pa.array(scores), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())])))]
-            yield pa.RecordBatch.from_arrays(out, names=[*columns, "score", "spans"])
+            yield pa.RecordBatch.from_arrays(out, names=[*columns, *names])
 
-    docs = docs.drop("score", "spans")
+    docs = docs.drop(*names)
     columns = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
-    text = "text" if docs.schema["text"].dataType == T.StringType() else "__text"  # no second copy where none is needed
-    return (docs if text == "text" else docs.withColumn(text, F.col("text").cast("string"))).mapInArrow(tag, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.ArrayType(span))])
+    plain = docs.schema["text"].dataType == T.StringType()
+    text = "text" if plain else unused(docs, "text")  # no second copy where none is needed
+    return (docs if plain else docs.withColumn(text, F.col("text").cast("string"))).mapInArrow(tag, schema)
 
 
 def offending(text: str, p: np.ndarray, least: float) -> list[tuple[int, int, float]]:

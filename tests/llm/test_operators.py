@@ -348,7 +348,7 @@ def test_embeddings(spark):
                     linked.append((i, j))
     many = collections.Counter(k for p in linked for k in p)
     expected = components_of(len(rows), linked)
-    got = embeddings.near_duplicates(df, shards=3, chunk=200).collect()
+    got = embeddings.near_duplicates(df, shards=3).collect()
     assert len(got) == len(rows)
     assert sum(r.n_links for r in got) >= 0.99 * 2 * len(linked)
     assert all(r.n_links <= many[r.vec_id] for r in got)
@@ -364,6 +364,23 @@ def test_graph_finds_neighbours():
     assert np.mean([len(set(a) & set(b[:64])) / 10 for a, b in zip(best, ids, strict=True)]) >= 0.9
 
 
+def test_graph_alone_finds_links():
+    """Recall of the graph, without audits: groups of 20, and one of 800 around one centre, in a shard of 8000."""
+    rng = np.random.default_rng(120)
+    centres = rng.normal(size=(360, 48))
+    x = np.concatenate([c + rng.normal(size=(20, 48)) * 0.25 for c in centres] + [rng.normal(size=(1, 48)) + rng.normal(size=(800, 48)) * 0.2])
+    x = embeddings.unit(x[rng.permutation(len(x))])
+    graph = embeddings.Graph(x)
+    assert len(graph.layers) == 3
+    got = total = 0
+    for i in range(0, len(x), 500):
+        true = x[i : i + 500] @ x.T >= 0.9
+        r, c = embeddings.linked(graph, x[i : i + 500], 0.9, 16)
+        assert len(set(zip(r.tolist(), c.tolist(), strict=True))) == len(r) and true[r, c].all()
+        got, total = got + len(r), total + int(true.sum())
+    assert total > 300_000 and got >= 0.97 * total
+
+
 # Toxicity
 
 
@@ -528,6 +545,64 @@ def test_quality(spark):
     assert all(abs(r.score - 0.5) < 1e-9 for r in alike)
 
 
+def test_quality_against_brute_force(spark):
+    """Rates of the other documents of a host and of its parts, shrunk by moments, in numpy."""
+    rng = random.Random(16)
+    rows = [(i, words(rng, rng.randrange(0, 40)), rng.choice(["a", "b", None]), rng.choice(["s", "t", None, f"rare{i}"]), 0) for i in range(300)]
+    docs, weights = spark.createDataFrame(rows, DOCS).repartition(3), [rng.uniform(-1, 1) for _ in range(19)]
+    got = {r.doc_id: r for r in quality.score(docs, weights).collect()}
+    e = np.array([got[i].evidence for i in range(300)])
+    assert all((x == 0) == (t == "") for x, (_, t, *_) in zip(e, rows, strict=True))
+    p, mean = 1 / (1 + np.exp(-e)), np.mean(1 / (1 + np.exp(-e)))
+    hosts, parts = collections.defaultdict(list), collections.defaultdict(list)
+    for i, (_, _, lang, source, _) in enumerate(rows):
+        hosts[source].append(i)
+        parts[source, lang].append(i)
+
+    def worth(groups, prior):
+        n, k = sum(map(len, groups.values())), len(groups)
+        within = sum(len(x) * p[x].var() for x in groups.values()) / n
+        between = max(1e-6, (sum(len(x) * (p[x].mean() - prior(g)) ** 2 for g, x in groups.items()) - within * k) / n)
+        return max(1.0, within / between)
+
+    m = worth(hosts, lambda g: mean)
+    whole = {h: (p[x].sum() + m * mean) / (len(x) + m) for h, x in hosts.items()}
+    m2 = worth(parts, lambda g: whole[g[0]])
+    odds = lambda x: np.log(np.clip(x, 1e-6, 1 - 1e-6) / (1 - np.clip(x, 1e-6, 1 - 1e-6)))
+    for i, (_, _, lang, source, _) in enumerate(rows):
+        h, q = ([j for j in x if j != i] for x in (hosts[source], parts[source, lang]))
+        host_rate = (p[h].sum() + m * mean) / (len(h) + m)
+        part_rate = (p[q].sum() + m2 * host_rate) / (len(q) + m2)
+        assert (got[i].host_rate, got[i].part_rate) == pytest.approx((host_rate, part_rate), rel=1e-6)
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-(e[i] + odds(part_rate) - odds(mean)))), rel=1e-6)
+
+
+def test_trust_goes_on_until_it_settles(spark):
+    """A chain of hosts and two that link only to each other, against a solved system."""
+    edges = [(f"h{i}", f"h{i + 1}", 1) for i in range(30)] + [("x", "y", 2), ("y", "x", 1), ("y", "h0", 1)]
+    seeds = [("h0", 1.0, 0.0), ("x", 0.075, 0.075), ("y", 0.0, 0.2)]
+    got = {r.host: r for r in urls.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, trust double, distrust double"), tolerance=1e-6).collect()}
+    names = sorted({x for a, b, _ in edges for x in (a, b)})
+    for kind, k, pick in (("trust", 1, (0, 1)), ("distrust", 2, (1, 0))):
+        m, s = np.zeros((len(names), len(names))), np.zeros(len(names))
+        for e in edges:
+            m[names.index(e[pick[1]]), names.index(e[pick[0]])] += e[2]
+        m = 0.85 * m / np.maximum(m.sum(axis=0), 1)
+        for row in seeds:
+            s[names.index(row[0])] = row[k]
+        for name, value in zip(names, np.linalg.solve(np.eye(len(names)) - m, s), strict=True):
+            assert abs((got[name][kind] if name in got else 0.0) - value) < 1e-4
+
+
+def test_operators_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "so nasty", "s", 2), (None, None, None, None)], "doc_id long, text string, score string, spans int")
+    got = toxicity.score(docs, toxicity.Model(), names=("score_", "spans_"))
+    assert got.columns == [*docs.columns, "score_", "spans_"] and {(r.score, r.spans) for r in got.collect()} == {("s", 2), (None, None)}
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], "x")], "vec_id long, embedding array<float>, component_id string")
+    assert [(r.vec_id, r.component_id) for r in embeddings.near_duplicates(vectors).collect()] == [(1, 1)]
+    assert [r.component_id for r in minhash.near_duplicates(docs.withColumn("band", F.lit("b"))).collect()] == [1, None]
+
+
 def test_null_ids(spark):
     long = words(random.Random(16), 40)
     docs = spark.createDataFrame([(None, long), (3, long), (None, "other words here now"), (4, None)], "doc_id long, text string")

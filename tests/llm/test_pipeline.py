@@ -66,3 +66,29 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(seen[3])
     again = corpus_pipeline.run(spark, sf)
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in again.collect()) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in packed)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Null ids, repeated rows, nulls in any column, clashing names, empty tables."""
+    rng = random.Random(2)
+    long = words(rng, 60)
+    rows = [(1, long), (1, long), (2, long + " end"), (None, words(rng, 40)), (3, None), (3, None), (4, ""), (5, words(rng, 9000)), (6, words(rng, 50)), (None, None)]
+    rows.append(rows[3])
+    extra = "lang string, source string, n_chars long, score string, spans string, matches string, doc string, turn string, digest string"
+    docs = spark.createDataFrame([(i, t, None, None, None, *"abcdef") for i, t in rows], f"doc_id long, text string, {extra}").repartition(3)
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, 1, int(i == 6)) for i in range(7)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(0, rows[8][1]), (None, None), (1, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    expected = [[1, 1, 2, 3, 3, 4, 5, 6, -1, -1, -1], [1, 3, 4, 5, 6, -1, -1], [1, 3, 4, 5, 6, -1, -1], [1, 3, 4, 5, -1, -1], [1, 3, 4, 5, -1, -1]]
+    empty = docs.limit(0)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        columns = docs.columns
+        stage(spark, docs, sf).write.parquet(f"{sf}/{name}")
+        docs = spark.read.parquet(f"{sf}/{name}")
+        got = docs.collect()
+        if k < 4:
+            assert sorted(-1 if r.doc_id is None else r.doc_id for r in got) == sorted(expected[k])
+            assert docs.columns == columns and {(r.score, r.spans, r.matches, r.doc, r.turn, r.digest) for r in got} == {tuple("abcdef")}
+        else:
+            assert sorted(-1 if r.doc_id is None else r.doc_id for r in got if r.piece == 0) == sorted(expected[k])
+        assert stage(spark, empty, sf).count() == 0
