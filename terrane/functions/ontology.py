@@ -75,3 +75,9 @@ def resolved_type(designated: Column, classes: Column, located: Column, ner: Col
 def year_node(inception: Column) -> Column:
     """YEAR_yyyy of a time such as +1955-00-00T00:00:00Z."""
     return F.concat(F.lit("YEAR_"), F.substring(inception, 2, 4))
+
+
+def heritage_type(label: Column, kind: Column) -> Column:
+    """A tagger's type; a location with a relict's word in its name is a relict."""
+    relict = F.rlike(label, F.lit(r"(?iU)\b(" + "|".join(V.RELICT_WORDS) + r")\b"))
+    return F.when((kind == "LOC") & relict, "HISTORICAL_RELICT").otherwise(kind)

@@ -72,6 +72,21 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(contained, 100.0).otherwise(best)
 
 
+def token_set_keys(c: Column) -> Column:
+    """Strings of which two texts with a token-set ratio of 80 or more share one: tokens; letter pairs of the sorted
+    distinct tokens; letters, if there are three at most.
+
+    Without a common token the ratio is that of the sorted tokens. Of L letters in both, l of each are then common and
+    l >= 0.4 L. Of the l - 1 pairs of neighbours among those, at most L - 2 l are torn, so 3 l - 1 - L pairs are shared:
+    one or more unless L = 5 and l = 2, where one text has two letters and the other three.
+    """
+    own = F.array_distinct(tokens(c))
+    row = F.array_join(F.array_sort(own), " ")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(row) - 1, F.lit(1))), lambda i: F.concat(F.lit("2"), F.substring(row, i, F.lit(2))))
+    letters = F.when(F.length(row) <= 3, F.transform(F.filter(F.split(row, ""), lambda x: x != ""), lambda x: F.concat(F.lit("1"), x))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.transform(own, lambda t: F.concat(F.lit("t"), t)), pairs, letters))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

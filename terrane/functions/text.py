@@ -133,8 +133,8 @@ def page_paragraphs(pages: DataFrame) -> DataFrame:
 
 
 def page_sections(pages: DataFrame) -> DataFrame:
-    """(page_id, ordinal, section, text): paragraphs under their last h2 or h3, or the default one. A page's blocks are
-    folded where they stand, so nothing is shuffled."""
+    """(page_id, ordinal, section, text): paragraphs under their last h2 or h3, or the default one, in their order. A
+    page's blocks are folded where they stand; its few sections' texts are joined after."""
     blocks = F.regexp_extract_all(without_noise(F.col("html")), F.lit(r"(?is)(<(?:h2|h3|p)\b[^>]*>.*?</(?:h2|h3|p)\s*>)"), F.lit(1))
     block = F.struct(F.lit(0).alias("n"), F.lit(V.DEFAULT_SECTION).alias("section"), F.array().cast("array<struct<n:int,section:string,text:string>>").alias("out"))
 
@@ -146,8 +146,9 @@ def page_sections(pages: DataFrame) -> DataFrame:
         row = F.struct(n.alias("n"), section.alias("section"), text.alias("text"))
         return F.struct(n.alias("n"), section.alias("section"), F.when(kept, F.concat(acc.out, F.array(row))).otherwise(acc.out).alias("out"))
 
-    rows = pages.select("page_id", F.explode(F.aggregate(blocks, block, step).out).alias("row"))
-    whole = rows.groupBy("page_id", F.col("row.n").alias("ordinal"), F.col("row.section").alias("section")).agg(F.array_join(F.collect_list("row.text"), " ").alias("text"))
+    rows = pages.select("page_id", F.posexplode(F.aggregate(blocks, block, step).out).alias("i", "row"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("i", "row.text"))), lambda x: x.text)
+    whole = rows.groupBy("page_id", F.col("row.n").alias("ordinal"), F.col("row.section").alias("section")).agg(F.array_join(texts, " ").alias("text"))
     return whole.where((F.length("text") > V.LEAST_SECTION) & ~F.col("section").isin(V.IGNORED_SECTIONS)).select("page_id", F.col("ordinal").cast("long").alias("ordinal"), "section", "text")
 
 

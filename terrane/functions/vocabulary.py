@@ -114,5 +114,4 @@ CHUNK, OVERLAP, LEAST_PARAGRAPH, LEAST_SECTION = 800, 100, 30, 50
 RELATION_WEIGHT, STRUCTURE_WEIGHT, TARGET_WEIGHT, LENGTH_PENALTY, MATERIAL_SIMILARITY = 0.55, 0.25, 0.20, 0.15, 0.1
 
 # Sentences.
-NO_ANSWER = "Không tìm thấy câu trả lời."
 NO_ENTITY = "No entity found."

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,13 +22,24 @@ def with_requests(questions: DataFrame) -> DataFrame:
     return questions.withColumns({"groups": requested_groups(F.col("relations")), "canonical": F.transform("relations", canonical_relation), "codes": codes})
 
 
-def neighbours(beams: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 100) -> DataFrame:
-    """The beams' next edges: those of the requested codes (all, if none), limit of a node, in order of relation and
-    target; then those above RELATION_FLOOR, RELATION_KEPT of them, or where there is none the first RELATION_FALLBACK."""
-    ways = both_ways(edges).select(F.col("src").alias("at"), "relation", F.col("dst").alias("next")).distinct()
+def requested_edges(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges that any question may take: a filter at the scan, unless one asks for all relations. Codes are few."""
+    codes = [r.code for r in asked.select(F.explode_outer(F.when(F.size("codes") > 0, F.col("codes"))).alias("code")).distinct().collect()]
+    return edges if None in codes else edges.where(F.col("relation").isin(codes))
+
+
+def ways_of(edges: DataFrame) -> DataFrame:
+    """Edges (at, relation, next) from either end, each once."""
+    return both_ways(edges).select(F.col("src").alias("at"), "relation", F.col("dst").alias("next")).distinct()
+
+
+def neighbours(beams: DataFrame, nodes: DataFrame, ways: DataFrame, limit: int = 100, similar: Mapping[tuple[str, str], float] | None = None) -> DataFrame:
+    """The beams' next edges of ways_of(): those of the requested codes (all, if none), limit of a node, in order of
+    relation and target; then those above RELATION_FLOOR, RELATION_KEPT of them, or where there is none the first
+    RELATION_FALLBACK."""
     found = beams.join(ways, "at").where((F.size("codes") == 0) | F.array_contains("codes", F.col("relation")))
     found = found.withColumn("order", F.row_number().over(Window.partitionBy("qid", "rank").orderBy("relation", "next"))).where(F.col("order") <= limit)
-    found = found.withColumn("similarity", relation_similarity(F.col("relation"), F.col("groups"), F.col("canonical")))
+    found = found.withColumn("similarity", relation_similarity(F.col("relation"), F.col("groups"), F.col("canonical"), similar))
     beam = Window.partitionBy("qid", "rank")
     passes = F.col("similarity") > V.RELATION_FLOOR
     found = found.withColumn("some", F.max(passes).over(beam)).withColumn("place", F.row_number().over(beam.orderBy(F.desc(passes), F.when(passes, -F.col("similarity")), "order")))
@@ -35,17 +48,21 @@ def neighbours(beams: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int
     return found.join(labels, "next")
 
 
-def beam_search(questions: DataFrame, nodes: DataFrame, edges: DataFrame, floor: float = V.PATH_FLOOR) -> DataFrame:
+def beam_search(
+    questions: DataFrame, nodes: DataFrame, edges: DataFrame, floor: float = V.PATH_FLOOR, targets: DataFrame | None = None, similar: Mapping[tuple[str, str], float] | None = None
+) -> DataFrame:
     """(qid, rank, depth, nodes, edges, score): every path that a question's beams held, the best first.
 
     At each depth a node is expanded for its first beam only; edges are chosen as in neighbours(); paths don't return to
     a node; scores under floor go; the width adapts to how the mean score compares with the best. A question ends
     when no path is left, its best is over STOP_SCORE, or the mean falls under STOP_DROP of the last depth's; the
-    paths of that depth count. Ties go by the parent's rank, then relation and target.
+    paths of that depth count. Ties go by the parent's rank, then relation and target. targets (qid, next, target) says
+    how similar a path's last node is to what the question looks for, 0 where it has no row; similar does so for pairs
+    of canonical relations.
     """
     asked = with_requests(questions)
     # Each depth reads these again; how they came about needs doing once.
-    nodes, edges = step(nodes.select("id", "label")), step(edges.select("source", "relation", "target").distinct())
+    nodes, ways = step(nodes.select("id", "label")), step(ways_of(requested_edges(asked, edges)))
     labels = nodes.select(F.col("id").alias("root"), F.col("label").alias("at_label"))
     beams = asked.join(labels, "root").select(
         "qid", "beam_width", "max_depth", "groups", "canonical", "codes", F.lit(1).alias("rank"), F.col("root").alias("at"), "at_label", F.array("root").alias("nodes"),
@@ -55,11 +72,12 @@ def beam_search(questions: DataFrame, nodes: DataFrame, edges: DataFrame, floor:
     while depth < deepest:
         depth += 1
         live = first_of(beams.where(F.col("max_depth") >= depth), ["qid", "at"], ["rank"], 1)
-        found = neighbours(live, nodes, edges).where(~F.array_contains("nodes", F.col("next")))
+        found = neighbours(live, nodes, ways, similar=similar).where(~F.array_contains("nodes", F.col("next")))
         edge = F.struct(F.col("at").alias("source_id"), F.col("at_label").alias("source_label"), "relation", F.col("next").alias("target_id"), F.col("next_label").alias("target_label"))
         found = found.withColumns({"sims": F.concat("sims", F.array("similarity")), "edges": F.concat("edges", F.array(edge)), "nodes": F.concat("nodes", F.array("next"))})
-        found = step(found.withColumn("score", path_score(F.col("sims"))).where(F.col("score") >= floor))
-        sums = found.groupBy("qid").agg(F.avg("score").alias("mean"), F.max("score").alias("most"))
+        found = found.join(targets.select("qid", "next", "target"), ["qid", "next"], "left") if targets is not None else found.withColumn("target", F.lit(0.0))
+        found = step(found.withColumn("score", path_score(F.col("sims"), F.coalesce("target", F.lit(0.0)))).where(F.col("score") >= floor))
+        sums = found.groupBy("qid").agg(F.round(F.avg("score"), 9).alias("mean"), F.max("score").alias("most"))
         ranked = found.withColumnRenamed("rank", "parent").join(sums, "qid")
         ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "parent", "order")))
         kept = step(ranked.where(F.col("rank") <= adaptive_width(F.col("beam_width"), F.col("mean"), F.col("most"))))
@@ -67,7 +85,7 @@ def beam_search(questions: DataFrame, nodes: DataFrame, edges: DataFrame, floor:
         out = rows if out is None else out.unionByName(rows)
         if kept.isEmpty():
             break
-        fell = F.col("last_mean").isNotNull() & (F.col("mean") < V.STOP_DROP * F.col("last_mean"))
+        fell = F.col("last_mean").isNotNull() & (F.col("mean") < F.round(V.STOP_DROP * F.col("last_mean"), 9))
         beams = kept.where((F.col("most") <= V.STOP_SCORE) & ~fell).select(
             "qid", "beam_width", "max_depth", "groups", "canonical", "codes", "rank", F.col("next").alias("at"), F.col("next_label").alias("at_label"), "nodes", "edges", "sims", F.col("mean").alias("last_mean")
         )

@@ -75,18 +75,21 @@ def first_of(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
 
 
-def expand(start: DataFrame, edges: DataFrame, relations: list[str] | None = None, directed: bool = False, limit: int = 100) -> DataFrame:
+def expand(start: DataFrame, edges: DataFrame, relations: list[str] | None = None, directed: bool = False, limit: int = 100, every: bool = False) -> DataFrame:
     """(id, relation, neighbour) of each start node (id), limit at most of each, ordered by relation and neighbour.
-    Relations, if any, are filtered at the scan."""
+    Relations, if any, are filtered at the scan. every: a start node without neighbours has a row of nulls."""
     edges = edges.where(F.col("relation").isin(relations)) if relations else edges
     ways = both_ways(edges) if not directed else edges.select(F.col("source").alias("src"), "relation", F.col("target").alias("dst"))
     found = start.select("id").distinct().join(ways.select(F.col("src").alias("id"), "relation", F.col("dst").alias("neighbour")), "id").distinct()
-    return first_of(found, ["id"], ["relation", "neighbour"], limit)
+    found = first_of(found, ["id"], ["relation", "neighbour"], limit)
+    return start.select("id").distinct().join(found, "id", "left") if every else found
 
 
-def paths(start: DataFrame, edges: DataFrame, depth: int, relations: list[str] | None = None, directed: bool = False, per_node: int | None = None) -> DataFrame:
+def paths(start: DataFrame, edges: DataFrame, depth: int, relations: list[str] | None = None, directed: bool = False, per_node: int | None = None, limit: int | None = None) -> DataFrame:
     """(nodes, relations) of every path of 1 to depth edges from the start nodes (id); no edge twice in a path. With
-    per_node, paths go on along the first so many edges of a node only, by relation and neighbour: hubs have very many."""
+    per_node, paths go on along the first so many edges of a node only, by relation and neighbour: hubs have very many.
+    With limit, each start node keeps so many paths: the shorter ones first, then by nodes and relations. As each path's
+    start is a path too, no more than limit of a length ever go on."""
     edges = edges.where(F.col("relation").isin(relations)) if relations else edges
     ways = (both_ways(edges) if not directed else both_ways(edges).where("forward")).select(
         F.col("src").alias("at"), "relation", "dst", F.when(F.col("forward"), F.concat_ws("|", "src", "relation", "dst")).otherwise(F.concat_ws("|", "dst", "relation", "src")).alias("edge")
@@ -97,7 +100,11 @@ def paths(start: DataFrame, edges: DataFrame, depth: int, relations: list[str] |
     for _ in range(depth):
         front = front.join(ways, "at").where(~F.array_contains("used", F.col("edge")))
         front = front.select(F.col("dst").alias("at"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("relations", F.array("relation")).alias("relations"), F.concat("used", F.array("edge")).alias("used"))
+        if limit:
+            front = step(first_of(front.withColumn("first", F.element_at("nodes", 1)), ["first"], ["nodes", "relations", "used"], limit)).drop("first")
         out = front if out is None else out.unionByName(front)
+    if limit:
+        out = first_of(out.withColumn("first", F.element_at("nodes", 1)), ["first"], [F.size("relations"), "nodes", "relations"], limit)
     return out.select("nodes", "relations")
 
 
@@ -132,3 +139,19 @@ def location_chain(nodes: DataFrame, edges: DataFrame, name: str, hops: int = 3,
         return found
     at = found.select("path", "n_edges", F.explode(F.split("path", ">")).alias("id"))
     return at.join(nodes.where(F.contains(F.lower("label"), F.lit(target.lower()))).select("id"), "id", "left_semi").select("path", "n_edges").distinct()
+
+
+def neighbourhood(nodes: DataFrame, edges: DataFrame, pattern: str, most_nodes: int = 5, most_edges: int = 10) -> DataFrame:
+    """(kind, source, relation, target): the first nodes by id whose label matches the pattern, as (id, null, label), and
+    the first edges from either end of all nodes that match, by labels."""
+    hit = nodes.where(F.rlike("label", F.lit(pattern)))
+    rows = hit.orderBy("id").limit(most_nodes).select(F.lit("node").alias("kind"), F.col("id").alias("source"), F.lit(None).cast("string").alias("relation"), F.col("label").alias("target"))
+    ways = both_ways(edges).select(F.col("src").alias("id"), "relation", "dst").join(hit.select("id", F.col("label").alias("source")), "id")
+    ends = nodes.select(F.col("id").alias("dst"), F.col("label").alias("target"))
+    linked = ways.join(ends, "dst").orderBy("source", "relation", "target").limit(most_edges).select(F.lit("edge").alias("kind"), "source", "relation", "target")
+    return rows.unionByName(linked)
+
+
+def run_sql(nodes: DataFrame, edges: DataFrame, sql: str) -> DataFrame:
+    """A query of one's own in Spark SQL over {nodes} and {edges}."""
+    return nodes.sparkSession.sql(sql, nodes=nodes, edges=edges)

@@ -62,8 +62,9 @@ def first_metadata(metadata: DataFrame, order: str) -> DataFrame:
     return valid_metadata(metadata).groupBy("entity_id", "property").agg(F.min_by("target", order).alias("target"))
 
 
-def build_nodes(entities: DataFrame, metadata: DataFrame, ner: str = "UNKNOWN") -> DataFrame:
-    """Nodes of entities (id, label, description) and metadata (entity_id, property, target variant, ord)."""
+def build_nodes(entities: DataFrame, metadata: DataFrame, ner: Column | str = "UNKNOWN") -> DataFrame:
+    """Nodes of entities (id, label, description) and metadata (entity_id, property, target variant, ord). ner: a
+    tagger's type of each entity, as a column of entities, or one for all."""
     at = lambda p: F.when(F.col("property") == p, F.col("target"))
     link = lambda p: F.transform(F.array_sort(F.collect_list(F.when(F.col("property") == p, F.struct(F.col("ord"), F.struct(F.expr("try_variant_get(target, '$.id', 'string')").alias("id"), F.expr("try_variant_get(target, '$.label', 'string')").alias("label")).alias("x"))))), lambda s: s.x)
     first = lambda p: F.min_by(at(p), F.when(F.col("property") == p, F.col("ord")))
@@ -73,7 +74,7 @@ def build_nodes(entities: DataFrame, metadata: DataFrame, ner: str = "UNKNOWN")
     none = F.array().cast("array<struct<id:string,label:string>>")
     joined = entities.join(per, "id", "left").withColumns({c: F.coalesce(c, none) for c in ("instance_of", "heritage_designation", "country")})
     number = lambda k: F.expr(f"try_variant_get(place, '$.{k}', 'double')")
-    kind = O.node_type(F.transform("instance_of", lambda x: x.label), F.size("heritage_designation") > 0, F.col("place").isNotNull(), F.lit(ner))
+    kind = O.node_type(F.transform("instance_of", lambda x: x.label), F.size("heritage_designation") > 0, F.col("place").isNotNull(), ner if isinstance(ner, Column) else F.lit(ner))
     return joined.select(
         "id",
         "label",
@@ -102,14 +103,49 @@ def triples(relations: DataFrame) -> DataFrame:
     return rows.dropna(subset=["subject", "object"]).dropDuplicates().fillna({"predicate": "related_to"})
 
 
-def coordinate_audit(metadata: DataFrame) -> DataFrame:
-    return metadata.where("property = 'P625'").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity_id").alias("n_entities"))
+def coordinate_audit(metadata: DataFrame, sample: int = 5) -> DataFrame:
+    """(n_rows, n_entities, sample): how many coordinates there are, of how many entities, and the first few (entity_id,
+    target) by entity and target."""
+    places = metadata.where("property = 'P625'")
+    first = places.orderBy("entity_id", "target").limit(sample).agg(F.array_sort(F.collect_list(F.struct("entity_id", "target"))).alias("sample"))
+    return places.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity_id").alias("n_entities")).crossJoin(first)  # a row each
 
 
 def alias_union(a: Column, b: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.array_union(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>"))))), "|")
 
 
-def pruned(c: Column) -> Column:
-    """A string property without empty values."""
-    return F.nullif(c, F.lit(""))
+def pruned(c: Column, kind: str = "string") -> Column:
+    """A property without empty values: null for "", and for arrays and maps (kind as in dtypes) that hold nothing."""
+    if kind.startswith(("array", "map")):
+        return F.when(F.size(c) > 0, c)
+    return F.nullif(c, F.lit("")) if kind == "string" else c
+
+
+def prune_properties(nodes: DataFrame) -> DataFrame:
+    return nodes.select(*[pruned(F.col(c), kind).alias(c) for c, kind in nodes.dtypes])
+
+
+def flattened(c: str, fields: list[str]) -> list[Column]:
+    """An array of structs as parallel arrays c_field."""
+    of = lambda f: F.transform(c, lambda x: x[f])
+    return [of(f).alias(f"{c}_{f}") for f in fields]
+
+
+def entity_info(entities: DataFrame) -> DataFrame:
+    """(id, label, description, aliases) of entities with label_vi, label_en, description_vi, description_en and
+    aliases_vi: Vietnamese, else English, else empty; Vietnamese aliases only."""
+    either = lambda c: F.coalesce(F.nullif(F.col(f"{c}_vi"), F.lit("")), F.nullif(F.col(f"{c}_en"), F.lit("")), F.lit("")).alias(c)
+    return entities.select("id", either("label"), either("description"), F.coalesce("aliases_vi", F.array().cast("array<string>")).alias("aliases"))
+
+
+def resolve_labels(claims: DataFrame, entities: DataFrame) -> DataFrame:
+    """claims (target, ...) with target_label: that of the entity fetched before (label_vi, else label_en), null where
+    none was or it has neither."""
+    label = F.coalesce(F.nullif(F.col("label_vi"), F.lit("")), F.nullif(F.col("label_en"), F.lit("")))
+    return claims.join(entities.select(F.col("id").alias("target"), label.alias("target_label")), "target", "left")
+
+
+def canonical_json(text: Column) -> Column:
+    """One form for equal JSON objects, as a key to compare them by: sorted names, no blanks. Null if it isn't JSON."""
+    return F.to_json(F.try_parse_json(text))

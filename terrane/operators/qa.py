@@ -168,3 +168,19 @@ def evidence(rows: DataFrame) -> Column:
     """A sentence for an edge (source_label, relation, target_label)."""
     kind = F.replace(F.replace(F.col("relation"), F.lit("P53_"), F.lit("")), F.lit("_"), F.lit(" "))
     return F.concat(F.lit("Fact: "), F.coalesce("source_label", F.lit("Unknown")), F.lit(" có mối quan hệ '"), kind, F.lit("' với "), F.coalesce("target_label", F.lit("Unknown")))
+
+
+def evidence_details(nodes: DataFrame) -> Column:
+    """A sentence for a node: its properties (label first, null and empty ones left out, arrays joined by commas)."""
+    have = dict(nodes.dtypes)
+    text = lambda c: F.array_join(c, ", ") if have[c].startswith("array") else F.col(c).cast("string")
+    parts = [F.concat(F.lit(f"{c}: "), F.nullif(text(c), F.lit(""))) for c in nodes.columns]
+    return F.concat(F.lit("Chi tiết về ["), F.coalesce("label", F.lit("None")), F.lit("]: "), F.concat_ws("; ", *parts))
+
+
+def evidence_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(fact): each edge's sentence and those of its ends, once each. Ends that are no nodes have none."""
+    own = nodes.select("id", "label", evidence_details(nodes).alias("detail"))
+    s, t = (own.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"), F.col("detail").alias(f"{end}_detail")) for end in ("source", "target"))
+    rows = edges.join(s, "source", "left").join(t, "target", "left")
+    return rows.select(F.explode(F.array_compact(F.array(evidence(rows), "source_detail", "target_detail"))).alias("fact")).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,15 +22,19 @@ def requested_groups(relations: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(relations, groups)))
 
 
-def relation_similarity(relation: Column, groups: Column, canonical: Column) -> Column:
+def relation_similarity(relation: Column, groups: Column, canonical: Column, similar: Mapping[tuple[str, str], float] | None = None) -> Column:
     """Of an edge's relation and the requested ones (their alias groups and canonical names). Canonical names that
-    differ have no similarity, as no embedding model is at hand."""
+    differ have the similarity that `similar` gives for the two, such as an embedding model's cosine; 0 without one."""
     name = internal_relation(F.trim(relation))
+    own = canonical_relation(name)
+    other = F.lit(0.0)
+    for (a, b), value in (similar or {}).items():
+        other = F.greatest(other, F.when((own == a) & F.array_contains(canonical, b), float(value)).otherwise(0.0))
     return (
         F.when(F.array_contains(groups, name), 1.0)
         .when(F.array_contains(groups, F.lit("material_used")), V.MATERIAL_SIMILARITY)
-        .when(F.array_contains(canonical, canonical_relation(name)), 1.0)
-        .otherwise(0.0)
+        .when(F.array_contains(canonical, own), 1.0)
+        .otherwise(other)
     )
 
 
@@ -50,4 +56,5 @@ def path_score(similarities: Column, target: Column | float = 0.0) -> Column:
 
 
 def adaptive_width(width: Column, mean: Column, most: Column) -> Column:
-    return F.greatest(F.lit(V.LEAST_BEAM), F.floor(width * mean / F.greatest(most, F.lit(0.1)))).cast("int")
+    """Rounded first, so that the order in which a mean's parts are added can't decide."""
+    return F.greatest(F.lit(V.LEAST_BEAM), F.floor(F.round(width * mean / F.greatest(most, F.lit(0.1)), 9))).cast("int")

@@ -75,3 +75,9 @@ edges as (select 'N' || n_nationkey as source, 'P53_has_former_or_current_locati
   select distinct 'O' || l_orderkey, 'P46_is_composed_of', 'P' || l_partkey from lineitem union all
   select 'O' || o_orderkey, 'P4_has_time_span', 'YEAR_' || year(o_orderdate) from orders)"""
 WAYS = "ways as (select source as src, relation, target as dst, true as forward from edges union all select target, relation, source, false from edges)"
+#: Common subsequences of pairs (a, b), bits for the letters of a.
+LCS = """
+    step as (select a, b, 0 as j, (1::hugeint << length(a)) - 1 as v from pairs union all
+      select a, b, j + 1, ((v + u) | (v - u)) & ((1::hugeint << length(a)) - 1) from
+        (select a, b, j, v, v & list_sum(list_transform(range(length(a)), lambda i: case when substr(a, i::int + 1, 1) = substr(b, j + 1, 1) then 1::hugeint << i::int else 0::hugeint end))::hugeint as u from step where j < length(b))),
+    lcs as (select a, b, length(a) - bit_count(v) as n from step where j = length(b))"""

@@ -4,13 +4,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """What spark.checkpoint.dir names; a folder of our own only where it is unset and all tasks run in this process."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not (spark.sparkContext.master or "").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or "file:///tmp/checkpoints").rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, tag: str) -> str:
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def step(df: DataFrame) -> DataFrame:
     """df, written to the folder that the cluster shares and read again: the plan stays short and lost executors lose nothing."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

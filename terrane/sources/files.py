@@ -21,14 +21,25 @@ def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     return seeds.withColumn("aliases", F.filter(F.split(F.coalesce("aliases", F.lit("")), r"\|"), lambda x: x != ""))
 
 
-def read_records(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """A JSON array of records. Strict: a missing file raises FileNotFoundError; else it is empty, as is a damaged one."""
+def read_records(spark: SparkSession, path: str, schema: str, strict: bool = True, lines: bool = False) -> DataFrame:
+    """A JSON array of records, or a record a line as write_records writes them. Strict: a missing file raises
+    FileNotFoundError; else it is empty, as is a damaged one."""
     if not exists(spark, path):
         if strict:
             raise FileNotFoundError(path)
         return spark.createDataFrame([], schema)
     mode = "FAILFAST" if strict else "DROPMALFORMED"
-    return spark.read.schema(schema).option("multiLine", True).option("mode", mode).json(path)
+    return spark.read.schema(schema).option("multiLine", not lines).option("mode", mode).json(path)
+
+
+def write_seeds(seeds: DataFrame, path: str) -> None:
+    """Seeds as CSV files, each with a byte order mark before its header, so that spreadsheets read them as UTF-8."""
+    rows = seeds.withColumn("aliases", F.array_join("aliases", "|")).select("input_name", "wikidata_id", "canonical_name", "aliases")
+    rows.withColumnRenamed("input_name", "\ufeffinput_name").write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_triples(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("subject string, predicate string, object string").option("header", True).csv(path)
 
 
 def write_records(df: DataFrame, path: str) -> None:
@@ -53,6 +64,11 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").partitionBy("relation").parquet(f"{path}/edges")
 
 
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What write_graph wrote: nodes and edges."""
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges").select("source", "relation", "target")
+
+
 def tolerant_json(text: Column) -> Column:
     """A JSON value, with or without a code fence around it; null if it isn't JSON."""
     return F.try_parse_json(F.trim(F.regexp_replace(text, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")))

@@ -100,3 +100,31 @@ def test_mappings(spark):
     assert [r[0] for r in df.select(O.node_type(F.col("c"), F.col("d"), F.col("l"), F.col("n"))).collect()] == ["FAC", "X", "X", "FAC", "FAC", "MATERIAL"]
     assert values(spark, ["a-b c.d", "", None], O.safe_relation(a)) == [("a_b_c_d",), ("RELATED_TO",), ("RELATED_TO",)]
     assert values(spark, ["+1955-00-00T00:00:00Z", None], O.year_node(a)) == [("YEAR_1955",), (None,)]
+
+
+def test_token_set_keys_leave_out_no_pair():
+    """Every pair of short texts with a ratio of 80 or more shares a key; checked in plain Python."""
+    import itertools
+    import random
+
+    from terrane.functions.similarity import common_subsequence
+
+    def keys(text):
+        own = sorted(set(text.split()))
+        row = " ".join(own)
+        return {f"t{t}" for t in own} | {f"2{row[i : i + 2]}" for i in range(max(1, len(row) - 1))} | ({f"1{c}" for c in row} if len(row) <= 3 else set())
+
+    def ratio(a, b):
+        x, y = set(a.split()), set(b.split())
+        join = lambda s: " ".join(sorted(s))
+        common, one, two = join(x & y), (join(x & y) + " " + join(x - y)).strip(), (join(x & y) + " " + join(y - x)).strip()
+        if common and (x <= y or y <= x):
+            return 100.0
+        value = lambda p, q: 200.0 * common_subsequence(p, q) / (len(p) + len(q))
+        return max(value(one, two), *((value(common, one), value(common, two)) if common else ()))
+
+    rng = random.Random(4)
+    texts = {" ".join("".join(rng.choices("abc ", k=rng.randrange(1, 12))).split()) for _ in range(400)} - {""}
+    texts |= {"a bc", "a", "ab", "axb", "b a"}
+    near = [(p, q) for p, q in itertools.combinations(sorted(texts), 2) if ratio(p, q) >= 80]
+    assert len(near) > 500 and all(keys(p) & keys(q) for p, q in near)

@@ -178,3 +178,28 @@ def test_graph_sink_and_upserts(spark, tmp_path):
     one = files.write_upserted(spark.createDataFrame([("a", 1)], "k string, v int"), str(tmp_path / "t0"), ["k"], str(tmp_path / "t1"))
     two = files.write_upserted(spark.createDataFrame([("a", 2), ("b", 3)], "k string, v int"), str(tmp_path / "t1"), ["k"], str(tmp_path / "t2"))
     assert one.count() == 1 and sorted(tuple(r) for r in two.collect()) == [("a", 2), ("b", 3)]
+
+
+def test_token_set_keys_match_the_proof(spark):
+    rows = spark.createDataFrame([("b a a",), ("ab",), ("axb",), ("one two",)], "t string").select("t", S.token_set_keys(F.col("t")).alias("k")).collect()
+    assert {r.t: set(r.k) for r in rows} == {
+        "b a a": {"ta", "tb", "2a ", "2 b", "1a", "1 ", "1b"}, "ab": {"tab", "2ab", "1a", "1b"}, "axb": {"taxb", "2ax", "2xb", "1a", "1x", "1b"},
+        "one two": {"tone", "ttwo", "2on", "2ne", "2e ", "2 t", "2tw", "2wo"},
+    }
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    from terrane.streaming.upserts import upsert_stream
+
+    write = lambda rows, at: spark.createDataFrame(rows, "k string, v int, o int").coalesce(1).write.parquet(f"{tmp_path}/in/{at}")
+    write([("a", 1, 1), ("b", 1, 2)], "x=1")
+    read = lambda: sorted((r.k, r.v) for r in upsert_stream(spark, f"{tmp_path}/in", ["k"], "o", ["k", "v", "o"], name=tmp_path.name).collect())
+    assert read() == [("a", 1), ("b", 1)]
+    write([("b", 2, 3), ("c", 2, 4)], "x=2")
+    assert read() == [("a", 1), ("b", 2), ("c", 2)] == read()
+
+
+def test_graph_questions_of_no_relation_read_all_edges(spark):
+    edges = spark.createDataFrame([("a", "P53_has_former_or_current_location", "b"), ("a", "P46_is_composed_of", "c")], "source string, relation string, target string")
+    asked = lambda *r: beam.with_requests(spark.createDataFrame([(list(r),)], "relations array<string>"))
+    assert beam.requested_edges(asked("located_in"), edges).count() == 1 and beam.requested_edges(asked(), edges).count() == 2

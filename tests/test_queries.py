@@ -53,7 +53,7 @@ def test_target_scores_cover_all_rows(spark, tmp_path):
     """Labels that only ids from 10 on have, a null label and a vector without direction have rows, too."""
     rng = random.Random(1)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(4)], None if i == 29 else i // 10) for i in range(30)] + [(30, [0.0] * 4, 1)]
-    got = {r.vec_id: r.value for r in plans.QUERIES["path_target_score_all"](spark, embeddings(spark, tmp_path, rows)).collect()}
+    got = {r.vec_id: r.value for r in plans.QUERIES["path_target_score"](spark, embeddings(spark, tmp_path, rows)).collect()}
     mean = {}
     for of in (0, 1, 2):
         own = [v for _, v, label in rows if label == of]
@@ -70,7 +70,7 @@ def test_nearest_are_of_any_label(spark, tmp_path, most):
     rows = [(i, [float(rng.randint(-2, 2)) for _ in range(3)], None if i % 40 == 0 else i % 20) for i in range(100)] + [(100, [0.0] * 3, 1), (None, [1.0] * 3, 1), (101, None, 1)]
     where = embeddings(spark, tmp_path, rows)
     if most == 2048:
-        out = plans.QUERIES["cosine_topk_all"](spark, where)
+        out = plans.QUERIES["cosine_topk"](spark, where)
     else:
         e = spark.read.parquet(f"{where}/embeddings.parquet")
         out = similarity.nearest(e, e.where("vec_id % 20 = 0"), most_queries=most)
