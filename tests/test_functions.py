@@ -121,7 +121,7 @@ def test_token_set_keys_leave_out_no_pair():
         if common and (x <= y or y <= x):
             return 100.0
         value = lambda p, q: 200.0 * common_subsequence(p, q) / (len(p) + len(q))
-        return max(value(one, two), *((value(common, one), value(common, two)) if common else ()))
+        return max([value(one, two), *([value(common, one), value(common, two)] if common else [])])
 
     rng = random.Random(4)
     texts = {" ".join("".join(rng.choices("abc ", k=rng.randrange(1, 12))).split()) for _ in range(400)} - {""}
