@@ -135,19 +135,6 @@ def marginals(got: Passes) -> np.ndarray:
     return (both / (1 + both))[got.place]
 
 
-def pair_counts(got: Passes, model: Model) -> np.ndarray:
-    """Expected numbers of steps clean-toxic, toxic-toxic, toxic-clean and clean-clean; before a text all is clean."""
-    a, b, c, d = (np.exp(v) for v in (model.enter, model.stay_toxic, model.stay_clean, model.leave))
-    at, n = got.at, len(got.z)
-    r = np.zeros(n)
-    first = int(at[1]) if len(at) > 1 else 0
-    step = np.repeat(np.arange(len(at) - 1), np.diff(at))[first:]
-    r[first:] = got.forth[np.arange(first, n) - at[step] + at[step - 1]]
-    s = got.z * got.back
-    four = np.stack((a * s, b * r * s, d * r, np.full(n, c)))
-    return (four / four.sum(axis=0)).sum(axis=1)
-
-
 def evidence(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A row for each text, from its tokens' probabilities: log odds that it has a toxic token (at most 20 either way,
     in tens), the expected number of them (as a logarithm) and their share (as a root), and 1."""
@@ -160,7 +147,78 @@ def evidence(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.stack((odds / 10, np.log1p(many), np.sqrt(many / np.maximum(lengths, 1)), np.ones(len(lengths))), axis=1)
 
 
-def fit(texts: list[str], toxic: np.ndarray, p_value: float = 1e-8, reach: int = 16, rounds: int = 100) -> Model:
+class Chains:
+    """Whole texts as units for fitting: a run of tokens without features, which all have one potential, and the token
+    with features that ends it, if any does. What a run of any length expects has a closed form, so that the work
+    follows the tokens with features.
+
+    States are clean and toxic; vectors over them are kept as the ratio of the second to the first.
+    """
+
+    def __init__(self, words: list[np.ndarray], toxic: np.ndarray, hit: np.ndarray):
+        gaps, ids, labels, lengths = [], [], [], []
+        for ws, y in zip(words, toxic, strict=True):
+            at = np.flatnonzero(hit[ws]) if len(ws) else np.zeros(0, np.int64)
+            gaps.append(np.diff(np.concatenate(([-1], at, [len(ws)]))) - 1)
+            ids.append(np.append(ws[at], -1))
+            labels.append(np.append(np.full(len(at), int(bool(y))), 0))
+            lengths.append(len(at) + 1)
+        place, self.at = by_step(np.array(lengths, np.int64))
+        self.gap, self.id, self.y = (np.empty(len(place), t) for t in (float, np.int64, np.int64))
+        gap, y = np.concatenate(gaps), np.concatenate(labels)
+        self.gap[place], self.id[place], self.y[place] = gap, np.concatenate(ids), y
+        self.ends = self.id < 0  # the last unit of a text has no token with features
+        first = np.zeros(len(y), bool)
+        first[np.cumsum(lengths) - lengths] = True
+        before = np.where(first, 0, np.append(0, y[:-1]))  # the label of the token before a unit
+        token = np.concatenate(ids) >= 0
+        open_, none = before * (gap == 0), before * (gap > 0)
+        up, on, down = (token & (y == 1) & (open_ == 0)).sum(), (token & (y == 1) & (open_ == 1)).sum(), none.sum() + (token & (y == 0) & (open_ == 1)).sum()
+        self.seen = np.array([up, on, down, gap.sum() + token.sum() - up - on - down], float)
+
+    def expected(self, odds: np.ndarray, plain: float, model: Model) -> tuple[np.ndarray, float, np.ndarray]:
+        """Each unit's token's probability of being toxic (0 without one), the sum of those of plain tokens, and the
+        expected numbers of steps clean-toxic, toxic-toxic, toxic-clean and clean-clean. odds are the units' tokens'."""
+        a, b, c, d = (np.exp(v) for v in (model.enter, model.stay_toxic, model.stay_clean, model.leave))
+        root = np.sqrt((c - b * plain) ** 2 + 4 * a * plain * d)
+        l1, l2 = (c + b * plain + root) / 2, (c + b * plain - root) / 2
+        vectors = np.array([[a * plain, a * plain], [l1 - c, l2 - c]])
+        inverse, r = np.linalg.inv(vectors), l2 / l1
+        fade = np.power(r, self.gap)  # the second eigenvalue's share after a run
+        begin, mid, after = np.empty(len(odds)), np.empty(len(odds)), np.ones(len(odds))
+        bounds, out = self.at.tolist(), None
+        for i, j in zip(bounds, bounds[1:], strict=False):
+            begin[i:j] = 0.0 if out is None else out[: j - i]
+            one, two = (vectors[0, k] + vectors[1, k] * begin[i:j] for k in (0, 1))
+            two = two * fade[i:j]
+            mid[i:j] = (one * inverse[0, 1] + two * inverse[1, 1]) / (one * inverse[0, 0] + two * inverse[1, 0])
+            out = np.minimum(odds[i:j] * (a + b * mid[i:j]) / (c + d * mid[i:j]), 1e30)
+        end = np.ones(len(odds))  # backward, between a run and its token
+        for t in range(len(bounds) - 2, -1, -1):
+            i, j = bounds[t : t + 2]
+            if t < len(bounds) - 2:
+                k = bounds[t + 2]
+                one, two = (inverse[n, 0] + inverse[n, 1] * end[j:k] for n in (0, 1))
+                two = two * fade[j:k]
+                after[i : i + k - j] = (vectors[1, 0] * one + vectors[1, 1] * two) / (vectors[0, 0] * one + vectors[0, 1] * two)
+            s = odds[i:j] * after[i:j]
+            end[i:j] = np.where(self.ends[i:j], 1.0, (d + b * s) / (c + a * s))
+        s = odds * after
+        four = np.stack((a * s, b * mid * s, d * mid, np.full(len(odds), c))) * ~self.ends
+        four /= np.where(self.ends, 1.0, four.sum(axis=0))
+        # Runs: left and right in the eigenvectors' coordinates, and the sums over all places in the run.
+        left = [vectors[0, k] + vectors[1, k] * begin for k in (0, 1)]
+        right = [inverse[k, 0] + inverse[k, 1] * end for k in (0, 1)]
+        whole = left[0] * right[0] + fade * left[1] * right[1]
+        apart = (1 - fade) / (l1 - l2)
+        twice = self.gap * np.where(self.gap > 0, np.power(r, np.maximum(self.gap - 1, 0)), 0.0) / l1
+        sums = [[self.gap / l1, apart], [apart, twice]]
+        steps = np.array([[c, a * plain], [d, b * plain]])
+        runs = np.array([[sum((left[p] * right[q] * sums[p][q] / whole).sum() * inverse[p, m] * vectors[n, q] for p in (0, 1) for q in (0, 1)) for n in (0, 1)] for m in (0, 1)]) * steps
+        return four[0] + four[1], runs[0, 1] + runs[1, 1], four.sum(axis=1) + np.array([runs[0, 1], runs[1, 1], runs[1, 0], runs[0, 0]])
+
+
+def fit(texts: list[str], toxic: np.ndarray, p_value: float = 1e-8, rounds: int = 100) -> Model:
     """Learns from whole labelled texts. A token is labelled toxic if it has a feature whose presence goes with toxic
     texts (more than 0.6 of its texts are toxic, at twice the odds of all texts or more; its chance among texts labelled alike
     is under p_value) and its text is toxic; the others are clean."""
@@ -202,36 +260,22 @@ def fit(texts: list[str], toxic: np.ndarray, p_value: float = 1e-8, reach: int =
     del flat, slot
     hit = np.zeros(n_words, bool)
     hit[rows] = True
-    # Stretches around hits, and one from the middle of each clean text without any.
-    stretches, labels = [], []
-    for ws, y in zip(words, toxic, strict=True):
-        at = np.flatnonzero(hit[ws]) if len(ws) else np.zeros(0, int)
-        if not len(at) and len(ws) and not y:
-            at = np.array([len(ws) // 2])
-        end = -1
-        for i in at:
-            if i >= end:
-                low, end = max(0, i - reach), min(len(ws), i + reach + 1)
-                stretches.append(ws[low:end])
-                labels.append(hit[ws[low:end]] & bool(y))
-    ids, y = np.concatenate(stretches), np.concatenate(labels).astype(int)
-    lengths = np.array([len(s) for s in stretches])
-    starts = np.zeros(len(ids), bool)
-    starts[np.cumsum(lengths) - lengths] = True
-    before = np.where(starts, 0, np.concatenate((np.zeros(1, int), y[:-1])))
+    chains = Chains(words, np.asarray(toxic), hit)
+    token = ~chains.ends
+    ids, y = chains.id[token], chains.y[token]
     theta = np.zeros(len(chosen) + 5)  # weights, bias, enter, stay_toxic, leave, stay_clean
     theta[-5] = -3.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
+    x = np.ones(len(chains.id))
     for k in range(1, rounds + 1):
         w = theta[:-5]
         e = theta[-5] + np.bincount(rows, w[cols], n_words)
         now = Model(bias=0, enter=theta[-4], stay_toxic=theta[-3], leave=theta[-2], stay_clean=theta[-1])
-        x = np.exp(np.clip(e[ids], -30, 30))
-        got = passes(x, lengths, now)
-        p, pairs = marginals(got), pair_counts(got, now)
-        seen = np.array([((before == 0) & (y == 1)).sum(), ((before == 1) & (y == 1)).sum(), ((before == 1) & (y == 0)).sum(), ((before == 0) & (y == 0)).sum()])
+        x[token] = np.exp(np.clip(e[ids], -30, 30))
+        p, plain, pairs = chains.expected(x, float(np.exp(theta[-5])), now)
+        p = p[token]
         back = np.bincount(ids, y - p, n_words)
-        grad = np.concatenate((np.bincount(cols, back[rows], len(chosen)) - 0.5 * w, [(y - p).sum()], seen - pairs - 0.5 * theta[-4:]))
+        grad = np.concatenate((np.bincount(cols, back[rows], len(chosen)) - 0.5 * w, [(y - p).sum() - plain], chains.seen - pairs - 0.5 * theta[-4:]))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     model.weights = {int(b): float(x) for b, x in zip(chosen, theta[:-5], strict=True)}
@@ -295,14 +339,21 @@ def tagged(words: list[list[str]], model: Model, odds: Odds | None = None) -> tu
     return evidence(p, lengths), lengths, p
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = 8000, usable=None) -> Model:
-    """Fits on at most most_rows labelled documents, whole, chosen by a hash of doc_id among the rows of labels that
-    usable (a condition) allows."""
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = 8000, usable=None, most_bytes: int = 64_000_000) -> Model:
+    """Fits on whole labelled documents, at most most_rows of them and most_bytes of their texts: in the order of a hash
+    of doc_id, of the rows of labels that usable (a condition) allows, those that still have room."""
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     rows = rows if usable is None else rows.where(usable)
     ids = rows.groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
-    got = sorted(map(tuple, texts.collect()))
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id")
+    sizes = own.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    chosen, room = [], most_bytes
+    for r in sizes:
+        if r.size <= room:
+            chosen.append((r.doc_id,))
+            room -= r.size
+    texts = own if len(chosen) == len(sizes) else own.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, docs.select("doc_id").schema)), "doc_id")
+    got = sorted(map(tuple, texts.select("doc_id", "text", "label").collect()))
     return fit([t for _, t, _ in got], np.array([int(y > 0) for *_, y in got], int))
 
 

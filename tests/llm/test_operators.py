@@ -440,6 +440,46 @@ def test_chain_marginals_match_enumeration():
         at += n
 
 
+def test_chains_of_whole_texts_match_enumeration():
+    """Expected tokens and steps against all labellings of short texts, and observed steps against counting."""
+    rng = np.random.default_rng(140)
+    model = toxicity.Model(enter=-0.7, stay_toxic=0.4, leave=0.2, stay_clean=0.9)
+    hit, plain = np.array([False, True, False, True, False]), 0.3
+    odds_of = np.where(hit, rng.uniform(0.2, 3.0, 5), plain)
+    words, toxic = [rng.integers(0, 5, n) for n in (6, 1, 0, 8, 3, 5)] + [np.array([1, 3, 1]), np.array([0, 2, 4, 0])], np.array([1, 0, 1, 1, 0, 1, 1, 1])
+    chains = toxicity.Chains(words, toxic, hit)
+    token = ~chains.ends
+    p, rest, pairs = chains.expected(np.where(token, odds_of[np.maximum(chains.id, 0)], 1.0), plain, model)
+    step = {(0, 1): model.enter, (1, 1): model.stay_toxic, (1, 0): model.leave, (0, 0): model.stay_clean}
+    kinds = [(0, 1), (1, 1), (1, 0), (0, 0)]
+    hits, plains, steps, seen = [], 0.0, np.zeros(4), np.zeros(4)
+    for ws, t in zip(words, toxic, strict=True):
+        y = [int(hit[w] and t) for w in ws]
+        for k in range(len(ws)):
+            seen[kinds.index((y[k - 1] if k else 0, y[k]))] += 1
+        weight = {}
+        for bits in range(2 ** len(ws)):
+            y = [bits >> k & 1 for k in range(len(ws))]
+            weight[tuple(y)] = np.exp(sum(np.log(odds_of[w]) * v + step[(y[k - 1] if k else 0, v)] for k, (w, v) in enumerate(zip(ws, y, strict=True))))
+        z = sum(weight.values())
+        for k, w in enumerate(ws):
+            q = sum(v for y, v in weight.items() if y[k]) / z
+            hits, plains = (hits + [q], plains) if hit[w] else (hits, plains + q)
+            for n, kind in enumerate(kinds):
+                steps[n] += sum(v for y, v in weight.items() if (y[k - 1] if k else 0, y[k]) == kind) / z
+    assert sorted(p[token]) == pytest.approx(sorted(hits)) and rest == pytest.approx(plains)
+    assert pairs == pytest.approx(steps) and chains.seen == pytest.approx(seen)
+
+
+def test_texts_to_learn_from_are_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * (1000 if i == 3 else 10)) for i in range(9)], "doc_id long, text string")
+    got = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: got.append(texts))
+    for most in (10**6, 85, 0):
+        toxicity.learn(docs, docs.selectExpr("doc_id", "1 as toxic"), most_bytes=most)
+    assert [sorted(map(len, x)) for x in got] == [[10] * 8 + [1000], [10] * 8, []]
+
+
 # Chat
 
 
