@@ -170,11 +170,15 @@ def format_chat(messages: DataFrame, schemas: Mapping | None = None) -> DataFram
     messages; null ids link with nothing; repeated rows stay; very long texts are kept whole; an empty table gives no
     rows; other columns aren't read.
     """
-    rows = parsed(messages, schemas or {})
-    calls = rows.where("size(calls) > 0").select("conv_id", "turn", F.posexplode("calls").alias("call", "own"))
+    # Only what looks like a JSON object can hold calls or an identifier.
+    like = F.coalesce(F.rlike(F.col("text").cast("string"), F.lit(r"^[ \t\n\r]*\{")), F.lit(False))
+    of = lambda role: F.coalesce(F.col("role") == role, F.lit(False)) & like
+    read = lambda ok: parsed(messages.where(ok), schemas or {})
+    calls = read(of("assistant")).where("size(calls) > 0").select("conv_id", "turn", F.posexplode("calls").alias("call", "own"))
     first = calls.where("own.id is not null").groupBy("conv_id", F.col("own.id").alias("call_id")).agg(F.min(F.struct("turn", "call")).alias("first"))
-    linked = rows.where("call_id is not null").join(first, ["conv_id", "call_id"], "left")
-    rest = rows.where("call_id is null").withColumn("first", F.lit(None).cast(first.schema["first"].dataType))
+    results = read(of("tool"))
+    linked = results.where("call_id is not null").join(first, ["conv_id", "call_id"], "left")
+    rest = read(~of("tool")).unionByName(results.where("call_id is null")).withColumn("first", F.lit(None).cast(first.schema["first"].dataType))
     count = lambda c: F.size(c).cast("long")
     return linked.unionByName(rest).select(
         "conv_id",
