@@ -165,13 +165,44 @@ def commons(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     return out.astype(np.int64)
 
 
-def linked_blocks(members: DataFrame, classes: DataFrame, sets: DataFrame, bands: int, at: float, percent: int, miss: float, batch_hashes: int, size: int) -> DataFrame:
+def live_pairs(table: pa.Table, bands: int, percent: int, miss: float, batch_hashes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, live): rows of a pair of blocks (i, j), and which of left x right their sizes and signatures leave:
+    of different components, met in no earlier band, and ruled out by no batch of hashes."""
+    get = lambda c: table.column(c).to_numpy()
+    ids, comps, sizes, first = get("id"), get("comp"), get("n_shingles"), get("block") == table.column("i")[0].as_py()
+    left = np.flatnonzero(first)
+    right = left if table.column("i")[0].as_py() == table.column("j")[0].as_py() else np.flatnonzero(~first)
+    live = comps[left][:, None] != comps[right][None, :]
+    if not live.any():
+        return left, right, live
+    small, large = np.minimum.outer(sizes[left], sizes[right]), np.maximum.outer(sizes[left], sizes[right])
+    live &= 100 * small >= percent * large
+    if right is left:
+        live &= ids[left][:, None] < ids[right][None, :]
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+    keys = own_keys(sig, bands)
+    here = int(np.flatnonzero(keys[0] == table.column("band")[0].as_py())[0])
+    for b in range(here):
+        live &= keys[left, b][:, None] != keys[right, b][None, :]
+    matches = np.zeros(live.shape, np.int16)
+    for i in range(0, sig.shape[1], batch_hashes):
+        if not live.any():
+            break
+        end = min(i + batch_hashes, sig.shape[1])
+        for h in range(i, end):
+            matches += sig[left, h][:, None] == sig[right, h][None, :]
+        live &= matches >= least_matches(end, percent / 100, miss)
+    return left, right, live
+
+
+def linked_blocks(members: DataFrame, classes: DataFrame, sets: DataFrame, bands: int, percent: int, miss: float, batch_hashes: int, size: int) -> DataFrame:
     """Links (a, b) between members (band, id, comp) of one bucket and different components, enough to join all
     components that any such link joins.
 
     A bucket's members are dealt into blocks of about size, and each two blocks meet in a task. Members of the
     component with the most members don't need each other, so their blocks meet the others' blocks only. Two
-    documents that share several bands are compared in the first one.
+    documents that share several bands are compared in the first one. Blocks meet by signatures first; full sets go
+    only where a member has a pair left that no batch of hashes ruled out.
     """
     by_comp = members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
     shape = by_comp.groupBy("band").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top")).select(
@@ -186,40 +217,25 @@ def linked_blocks(members: DataFrame, classes: DataFrame, sets: DataFrame, bands
         (F.col("block") < F.col("few")) & (F.col("block") + 1 < F.col("few") + F.col("many")),
         F.transform(F.sequence(F.col("block") + 1, F.col("few") + F.col("many") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"))),
     ).otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>"))
-    met = dealt.select("band", "id", "comp", "block", F.explode(F.concat(lower, upper)).alias("at")).select("band", "id", "comp", "block", "at.i", "at.j")
-    full = met.join(classes.select("id", "sig"), "id").join(sets, "id")
+    signed = dealt.join(classes.select("id", "sig", "n_shingles"), "id")
+    met = signed.select("band", "id", "comp", "block", "sig", "n_shingles", F.explode(F.concat(lower, upper)).alias("at"))
+    met = met.select("band", "id", "comp", "block", "sig", "n_shingles", "at.i", "at.j")
+    named = ["band", "id", "comp", "block", "i", "j"]
+
+    def likely(table):
+        left, right, live = live_pairs(table, bands, percent, miss, batch_hashes)
+        some = np.union1d(left[live.any(axis=1)], right[live.any(axis=0)])
+        return table.select(named).take(pa.array(some, pa.int64()))
+
+    open_ = Written(met.groupBy("band", "i", "j").applyInArrow(likely, ", ".join(f"{c} long" for c in named)), "minhash-likely").df
+    full = open_.join(classes.select("id", "sig", "n_shingles"), "id").join(sets, "id")
 
     def meet(table):
-        if table.num_rows < 2:
-            return empty
-        get = lambda c: table.column(c).to_numpy()
-        ids, comps, first = get("id"), get("comp"), get("block") == table.column("i")[0].as_py()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+        left, right, live = live_pairs(table, bands, percent, miss, batch_hashes)
+        x, y = np.nonzero(live)
+        ids, comps = table.column("id").to_numpy(), table.column("comp").to_numpy()
         hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
         sizes = np.array([len(x) for x in hashes])
-        left = np.flatnonzero(first)
-        right = left if table.column("i")[0].as_py() == table.column("j")[0].as_py() else np.flatnonzero(~first)
-        if not len(left) or not len(right):
-            return empty
-        live = comps[left][:, None] != comps[right][None, :]
-        small, large = np.minimum.outer(sizes[left], sizes[right]), np.maximum.outer(sizes[left], sizes[right])
-        live &= 100 * small >= percent * large
-        if right is left:
-            live &= ids[left][:, None] < ids[right][None, :]
-        keys = own_keys(sig, bands)
-        band = table.column("band")[0].as_py()
-        here = int(np.flatnonzero((keys[0] == band))[0])
-        for b in range(here):
-            live &= keys[left, b][:, None] != keys[right, b][None, :]
-        matches = np.zeros(live.shape, np.int16)
-        for i in range(0, sig.shape[1], batch_hashes):
-            if not live.any():
-                return empty
-            end = min(i + batch_hashes, sig.shape[1])
-            for h in range(i, end):
-                matches += sig[left, h][:, None] == sig[right, h][None, :]
-            live &= matches >= least_matches(end, at, miss)
-        x, y = np.nonzero(live)
         if len(x) > 4 * (len(left) + len(right)):
             common = commons(hashes, left, right)[x, y]
         else:
@@ -243,7 +259,6 @@ def linked_blocks(members: DataFrame, classes: DataFrame, sets: DataFrame, bands
                 b.append(ids[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     return full.groupBy("band", "i", "j").applyInArrow(meet, "a long, b long")
 
 
@@ -252,7 +267,7 @@ def near_duplicates(
 ) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept): near-duplicate groups of documents by their k-word shingles.
 
-    Documents with equal sets are one class. Classes that share a band are candidates; sequential Bayesian pruning on
+    Documents with equal sets are one class, by a 128-bit digest of the set. Classes that share a band are candidates; sequential Bayesian pruning on
     the signatures comes first, then the test on full sets. Each bucket's members first meet one leader, and links
     make components. Only buckets in which several components are left compare the members of different components,
     in blocks. So no link of candidates that could join two components goes untested. A pair at the threshold shares
@@ -284,7 +299,7 @@ def near_duplicates(
     # A leader has met all its bucket; what is open is between the others.
     several = labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
     left = Written(labelled.join(several, "band", "left_semi"), "minhash-left").df
-    more = Written(linked_blocks(left, classes, sets, bands, at, percent, miss, batch_hashes, block), "minhash-more").df
+    more = Written(linked_blocks(left, classes, sets, bands, percent, miss, batch_hashes, block), "minhash-more").df
     if not more.isEmpty():
         comps = components(links.unionByName(more), "minhash")
     of_class = classes.select("d1", "d2", "id").join(comps.withColumnRenamed("node", "id"), "id", "left")
