@@ -208,6 +208,7 @@ def linked_blocks(members: DataFrame, classes: DataFrame, sets: DataFrame, bands
     shape = by_comp.groupBy("band").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top")).select(
         "band", F.col("top.comp").alias("big"), F.ceil((F.col("all") - F.col("top.n")) / size).alias("few"), F.ceil(F.col("top.n") / size).alias("many")
     )
+    shape = Written(shape, "minhash-shape").df
     slot = F.xxhash64("id", F.lit(7))
     dealt = members.join(shape, "band").withColumn(
         "block", F.when(F.col("comp") == F.col("big"), F.col("few") + F.pmod(slot, F.col("many"))).otherwise(F.pmod(slot, F.col("few")))
@@ -285,9 +286,12 @@ def near_duplicates(
         "minhash-classes",
     ).df
     # A row for each band in which a class isn't alone.
+    # What is counted of bands is written before it joins them: a join whose sides come straight from their shuffles
+    # may split a band that very many classes share.
     keys = band_keys(classes, bands, rows)
     shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("id", "band")).alias("leader")).where("n > 1")
-    members = Written(keys.join(shared.drop("n"), "band"), "minhash-members").df
+    shared = Written(shared.drop("n"), "minhash-shared").df
+    members = Written(keys.join(shared, "band"), "minhash-members").df
     sets = Written(shingle_sets(members.select("id").distinct(), docs, k), "minhash-sets").df
     release(spark)
     tried = members.where("id != leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
@@ -298,6 +302,7 @@ def near_duplicates(
     labelled = labelled.select("band", "id", F.coalesce("component", "id").alias("comp"))
     # A leader has met all its bucket; what is open is between the others.
     several = labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
+    several = Written(several, "minhash-several").df
     left = Written(labelled.join(several, "band", "left_semi"), "minhash-left").df
     more = Written(linked_blocks(left, classes, sets, bands, percent, miss, batch_hashes, block), "minhash-more").df
     if not more.isEmpty():
