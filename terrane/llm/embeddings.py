@@ -18,6 +18,8 @@ TOP = 64  # nodes of the highest layer at most
 MARGIN = 0.02  # under the threshold, so far go walks from link to link
 PART = 4096  # nodes of a graph in a row
 VISITED = 32_000_000  # bytes of visited marks at once
+WIDTH = 16  # of beams, unless audits ask for more
+MEND, ROUNDS = 4, 32  # links to a node that its own search missed, and rounds of them at most
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -96,10 +98,11 @@ def beam(queries: np.ndarray, entries: np.ndarray, vectors: np.ndarray, links: n
 
 
 class Graph:
-    """Layers from the full one (0) up, each of a sixteenth of the nodes below: (nodes, links between their places)."""
+    """Layers from the full one (0) up, each of a sixteenth of the nodes below: (nodes, links between their places).
+    Nodes of a similarity of near or more are a group."""
 
-    def __init__(self, vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]] | None = None):
-        self.vectors = vectors
+    def __init__(self, vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]] | None = None, near: float = 0.9):
+        self.vectors, self.near = vectors, near
         self.layers = layers
         if layers is None:
             self.layers, nodes = [], np.arange(len(vectors))
@@ -109,6 +112,7 @@ class Graph:
                 sets.append(nodes[height >> np.uint64(64 - 4 * len(sets)) == 0])
             for nodes in reversed([s for s in sets if len(s)]):  # the upper layers help to build the lower
                 self.layers.insert(0, (nodes, self._built(nodes)))
+            self._mend()
 
     def entries(self, queries: np.ndarray, above: int, count: int = 4) -> np.ndarray | None:
         """Places near the queries in the layer under `above`."""
@@ -165,6 +169,62 @@ class Graph:
             done += len(new)
         return links
 
+    def _missed(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of nodes, those that a search for them misses, and the nodes that it meets instead, the nearest first."""
+        v, links = self.vectors, self.layers[0][1]
+        q, step = v[nodes], max(1, VISITED // (8 * len(v)))
+        met, _ = self.search(q, WIDTH)
+        away = ~(met == nodes[:, None]).any(axis=1)
+        # Upper layers may lead to a node that its group doesn't: a beam that spreads has the links of the group alone.
+        at = links[nodes]
+        sims = np.einsum("bed,bd->be", v[np.maximum(at, 0)], q)
+        sims = np.where((at >= 0) & (sims >= self.near), sims, 2.0)
+        rows, last = np.flatnonzero(~away & (sims < 2.0).any(axis=1)), sims.argmin(axis=1)
+        if len(rows):
+            met[rows], _ = beam(q[rows], at[rows, last[rows]][:, None], v, links, WIDTH)
+            away[rows] = ~(met[rows] == nodes[rows, None]).any(axis=1)
+        # Beams that are full of nodes as near as the node itself spread to it.
+        rows = np.flatnonzero(away)
+        for i in range(0, len(rows), step):
+            some = rows[i : i + step]
+            r, c = np.nonzero(met[some] >= 0)
+            r, found = spread(self, q[some], r, met[some][r, c].astype(np.int64), 1 - MARGIN)
+            away[some[r[nodes[some[r]] == found]]] = False
+        return nodes[away], met[away]
+
+    def _mend(self) -> None:
+        """Links in the full layer to nodes that a search for them misses, from the nearest nodes that it meets. Without
+        them, a few nodes that hardly any links lead to make audits widen the beams of all queries.
+
+        A node gives one such link a round, as one into a group may open all of it. Others that met the same get one from
+        those that it went to, if they are as near: equal directions hardly link. Where no node has room, all get more.
+        What is missed after the last round is left to audits."""
+        more = lambda x: np.pad(x, ((0, 0), (0, MEND)), constant_values=-1)
+        nodes, links = self.layers[0]
+        lost = nodes
+        for _ in range(ROUNDS):
+            lost, met = (np.concatenate(x) for x in zip(*(self._missed(lost[i : i + 1024]) for i in range(0, len(lost), 1024)), strict=True))
+            if not len(lost):
+                break
+            if not (links[met[met >= 0]] < 0).any():
+                links = more(links)
+            given, heirs = np.zeros(len(links), bool), {}
+            for node, by in zip(lost.tolist(), met, strict=True):
+                best, some = int(by[0]), by[by >= 0]
+                some = some[~given[some] & (links[some] < 0).any(axis=1)][:MEND]
+                after, count = heirs.get(best, ([], 0))
+                if not len(some) and after:
+                    heir = after[count // MEND]
+                    if self.vectors[node] @ self.vectors[heir] >= self.vectors[node] @ self.vectors[best] - 1e-6:
+                        links = links if (links[heir] < 0).any() else more(links)
+                        some, count = np.array([heir]), count + 1
+                if len(some):
+                    links[some, (links[some] < 0).argmax(axis=1)] = node
+                    given[some] = True
+                    after.append(node)
+                    heirs[best] = after, count
+            self.layers[0] = nodes, links
+
     def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         start = self.entries(queries, 1)
         if start is None:
@@ -184,7 +244,7 @@ def spread(graph: Graph, queries: np.ndarray, rows: np.ndarray, nodes: np.ndarra
         sims = np.einsum("ij,ij->i", graph.vectors[nodes], queries[rows])
         out.append((rows[sims >= floor], nodes[sims >= floor]))
         go = sims >= floor - MARGIN
-        rows, nodes = np.repeat(rows[go], LINKS), links[nodes[go]].ravel()
+        rows, nodes = np.repeat(rows[go], links.shape[1]), links[nodes[go]].ravel()
         nodes = np.where(nodes < 0, n, nodes)
         new = ~seen[rows, nodes]
         both = np.unique(rows[new] * n + nodes[new])
@@ -205,7 +265,7 @@ def linked(graph: Graph, queries: np.ndarray, floor: float, width: int) -> tuple
     return np.concatenate((x, more[0])), np.concatenate((ids[x, y], more[1]))
 
 
-def audited(graph: Graph, queries: np.ndarray, floor: float, recall: float, audits: int, width: int = 16) -> int:
+def audited(graph: Graph, queries: np.ndarray, floor: float, recall: float, audits: int, width: int = WIDTH) -> int:
     """The width of beams with which evenly spread queries find recall of the pairs that a product with all nodes has:
     doubled until it does. A beam as wide as the shard meets all that can be reached."""
     sample = queries[np.unique(np.linspace(0, len(queries) - 1, min(audits, len(queries))).astype(int))]
@@ -286,7 +346,7 @@ def near_duplicates(vectors: DataFrame, at: float = 0.9, recall: float = 0.999,
 
     def build(table):
         x = np.frombuffer(b"".join(table.column("vec").to_pylist()), float).reshape(table.num_rows, -1)
-        graph = Graph(unit(x))
+        graph = Graph(unit(x), near=at)
         ids, many = table.column("id").to_numpy(), table.column("n").to_numpy()
         links = graph.layers[0][1]
         rest = pickle.dumps(graph.layers[1:])

@@ -381,6 +381,32 @@ def test_graph_alone_finds_links():
     assert total > 300_000 and got >= 0.97 * total
 
 
+def test_graph_leaves_no_node_out():
+    """The narrowest beams meet every node, and every other of its group from each: audits need not widen them."""
+    rng = np.random.default_rng(121)
+    groups = [rng.normal(size=(1, 64)) + rng.normal(size=(n, 64)) * 0.1 for n in (150, 60, 60, 2, 2, 2)]
+    x = np.concatenate([rng.normal(size=(5000, 64)), *groups])
+    x = embeddings.unit(x[rng.permutation(len(x))])
+    graph = embeddings.Graph(x)
+    missed = 0
+    for i in range(0, len(x), 500):
+        q = x[i : i + 500]
+        assert (graph.search(q, 16)[0] == np.arange(i, i + len(q))[:, None]).any(axis=1).all()
+        missed += int((q @ x.T >= 0.9).sum()) - len(embeddings.linked(graph, q, 0.9, 16)[0])
+    assert missed == 0
+    assert embeddings.audited(graph, x, 0.9, 0.999, 1024) == 16
+
+
+def test_graph_links_multiples():
+    """Multiples of a vector are distinct classes of one direction; all meet all."""
+    rng = np.random.default_rng(122)
+    x = np.concatenate((rng.normal(size=(1500, 32)), rng.normal(size=(1, 32)) * rng.uniform(0.1, 10, size=(600, 1))))
+    x = embeddings.unit(x[rng.permutation(len(x))])
+    r, c = embeddings.linked(embeddings.Graph(x), x, 0.9, 16)
+    true = x @ x.T >= 0.9
+    assert true[r, c].all() and len(r) == true.sum() >= 600 * 600
+
+
 # Toxicity
 
 
