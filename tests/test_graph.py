@@ -203,3 +203,47 @@ def test_graph_questions_of_no_relation_read_all_edges(spark):
     edges = spark.createDataFrame([("a", "P53_has_former_or_current_location", "b"), ("a", "P46_is_composed_of", "c")], "source string, relation string, target string")
     asked = lambda *r: beam.with_requests(spark.createDataFrame([(list(r),)], "relations array<string>"))
     assert beam.requested_edges(asked("located_in"), edges).count() == 1 and beam.requested_edges(asked(), edges).count() == 2
+
+
+def written_rows(spark, monkeypatch, module, run):
+    """What run() returns, and the rows of each step that the module writes meanwhile."""
+    rows, whole = [], module.step
+    monkeypatch.setattr(module, "step", lambda df: (rows.append((out := whole(df)).count()), out)[1])
+    return run(), rows
+
+
+def test_beams_at_a_hub_meet_its_chosen_edges_only(spark, monkeypatch):
+    """400 questions that all come to a year with 400 orders: no step has a row for each question and order."""
+    n = 400
+    nodes = spark.createDataFrame([(f"o{i:03}", f"o{i}") for i in range(n)] + [("y", "1998")], "id string, label string")
+    edges = spark.createDataFrame([(f"o{i:03}", "P4_has_time_span", "y") for i in range(n)] * 2, EDGES)
+    q = spark.createDataFrame([(f"q{i}", f"o{i:03}", ["thuộc về"], 5, 2) for i in range(n)], "qid string, root string, relations array<string>, beam_width int, max_depth int")
+    joined, whole = [], beam.neighbours
+    monkeypatch.setattr(beam, "neighbours", lambda *a, **k: (joined.append((out := whole(*a, **k)).groupBy("at").count().agg(F.max("count")).first()[0]), out)[1])
+    got, rows = written_rows(spark, monkeypatch, beam, lambda: beam.beam_search(q, nodes, edges, similar={("related_to", "part_of"): 0.5}).collect())
+    assert joined == [1, 15] and max(rows) <= 5 * n
+    best = {r.qid: r for r in got if r.depth == 2 and r.nodes[2] == "o000"}
+    assert len(best) == n - 1 and {r.depth for r in got} == {1, 2} and len(got) == 6 * n
+
+
+def test_paths_first_by_text_go_on_alone(spark, monkeypatch):
+    """A hub's 500 paths: 3 of a length go on. Texts decide: n1>... comes after n10>..., and an edge isn't taken twice."""
+    edges = spark.createDataFrame([("n1", "r", f"a{i:03}") for i in range(500)] + [(f"a{i:03}", "r", f"b{i:03}") for i in range(500)] + [("n10", "r", "a499"), ("n10", "s", "a499"), ("n10", "s", "a499")], EDGES)
+    start = spark.createDataFrame([("n1",), ("n10",)], "id string")
+    every = sorted({">".join(r.nodes) for r in graph.paths(start, edges.distinct(), 2).collect()})
+    got, rows = written_rows(spark, monkeypatch, graph, lambda: [r.path for r in graph.first_paths(start, edges, 2, 5).collect()])
+    assert got == every[:5] and got[:3] == ["n10>a499", "n10>a499>b499", "n10>a499>n1"] and max(rows) <= 12
+
+
+def test_many_keys_are_told_by_bits(spark):
+    from terrane.plans.steps import among, marked, step
+
+    keys = step(spark.range(0, 5000, 5).selectExpr("concat('k', id) as k"))
+    rows = spark.range(5000).selectExpr("concat('k', id) as c", "id").unionByName(spark.createDataFrame([(None, -1)], "c string, id long"))
+    for few in (10, 100_000):
+        got = {r.id: r.m for r in marked(rows, "c", keys, "m", few).collect()}
+        true = {i for i, m in got.items() if m}
+        assert len(got) == 5001 and set(range(0, 5000, 5)) <= true and len(true) < 1600
+        assert {r.id for r in among(rows, "c", keys, few).collect()} == true
+    big = marked(rows, "c", step(spark.range(0, 100_000).selectExpr("concat('k', id) as k")), "m", 10)
+    assert big.where("m and c is not null").count() == 5000
