@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import vocabulary as V
 from ..functions.ontology import year_node
 from ..functions.text import norm_lower_ws
-from ..plans.steps import step
+from ..plans.steps import marked, step
 
 
 def keyed(nodes: DataFrame) -> DataFrame:
@@ -101,11 +101,25 @@ def _linked(rows: DataFrame) -> list:
 
 
 def remap_relations(relations: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Relations with kept ends, without loops, distinct."""
+    """Relations with kept ends, without loops, distinct. Those without a dropped end don't travel to be looked up; equal
+    ones meet by a sort, whose memory is bounded."""
+    aliases = step(aliases.select("dropped", "kept"))
     end = lambda c: aliases.select(F.col("dropped").alias(c), F.col("kept").alias(f"{c}_kept"))
-    rows = relations.join(end("source"), "source", "left").join(end("target"), "target", "left")
-    rows = rows.select(F.coalesce("source_kept", "source").alias("source"), "relation", F.coalesce("target_kept", "target").alias("target"))
-    return rows.where("source != target").distinct()
+    rows = relations.select("source", "relation", "target")
+    for c in ("source", "target"):
+        rows = marked(rows, c, aliases.select("dropped"), f"{c}_may")
+    moved = rows.where("source_may or target_may").join(end("source"), "source", "left").join(end("target"), "target", "left")
+    moved = moved.select(F.coalesce("source_kept", "source").alias("source"), "relation", F.coalesce("target_kept", "target").alias("target"))
+    rows = rows.where("not (source_may or target_may)").select("source", "relation", "target").unionByName(moved).where("source != target")
+    return once(rows)
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """Different rows: each goes to its place as it is, and a sort brings equal ones together. Hash tables of rows that
+    hardly repeat would cost several times the memory, before the shuffle and after it."""
+    own = rows.columns
+    w = Window.partitionBy(*own).orderBy(F.lit(1))
+    return rows.repartition(*own).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
 def temporal_edges(nodes: DataFrame) -> DataFrame:
