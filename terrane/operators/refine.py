@@ -148,19 +148,26 @@ def words(text: str):
     return F.array_distinct(F.filter(F.split(F.col(text), r"(?U)[^\w]+"), lambda w: w != ""))
 
 
-def provenance(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
+def provenance(nodes: DataFrame, chunks: DataFrame, most_labels: int = 100_000) -> DataFrame:
     """(entity_id, chunk_id, source) where a normal label of two letters or more is in a chunk as whole words.
 
-    A label's longest word must be a word of the chunk: an equi-join of words, without texts. Each chunk's text then
-    meets its candidates once, and the whole labels are searched. Chunks with equal ids are one row of candidates each.
+    A label's longest word must be a word of the chunk. Up to most_labels labels are sent to the chunks, whose texts so
+    stay where they are and are brought to their normal form once. More labels meet the chunks' words in a join without
+    texts; each chunk's text then meets its candidates once. The whole labels are searched. Chunks with equal ids are one
+    row of candidates each.
     """
     labels = nodes.select(F.col("id").alias("entity_id"), norm_lower_ws("label").alias("label")).where(F.length("label") >= 2)
     longest = F.reduce(words("label"), F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
-    labels = labels.withColumn("word", longest).where("word != ''").groupBy("word").agg(F.collect_list(F.struct("entity_id", "label")).alias("own"))
+    labels = step(labels.withColumn("word", longest).where("word != ''"))
+    few = labels.count() <= most_labels
+    labels = labels.groupBy("word").agg(F.collect_list(F.struct("entity_id", "label")).alias("own"))
     texts = chunks.select("chunk_id", "source", norm_lower_ws("text").alias("text"))
-    at = texts.select("chunk_id", F.explode(words("text")).alias("word")).distinct().join(labels, "word")
-    candidates = at.groupBy("chunk_id").agg(F.flatten(F.collect_list("own")).alias("own"))
     quoted = lambda label: F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace(label, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?!\w)"))
     held = F.filter("own", lambda x: F.when(F.contains("text", x.label), F.rlike("text", quoted(x.label))).otherwise(F.lit(False)))
-    found = texts.join(candidates, "chunk_id").select("chunk_id", "source", F.explode(F.transform(held, lambda x: x.entity_id)).alias("entity_id"))
+    if few:
+        candidates = texts.withColumn("word", F.explode(words("text"))).join(F.broadcast(labels), "word")
+    else:
+        at = texts.select("chunk_id", F.explode(words("text")).alias("word")).distinct().join(labels, "word")
+        candidates = texts.join(at.groupBy("chunk_id").agg(F.flatten(F.collect_list("own")).alias("own")), "chunk_id")
+    found = candidates.select("chunk_id", "source", F.explode(F.transform(held, lambda x: x.entity_id)).alias("entity_id"))
     return found.select("entity_id", "chunk_id", "source").distinct()

@@ -247,3 +247,31 @@ def test_many_keys_are_told_by_bits(spark):
         assert {r.id for r in among(rows, "c", keys, few).collect()} == true
     big = marked(rows, "c", step(spark.range(0, 100_000).selectExpr("concat('k', id) as k")), "m", 10)
     assert big.where("m and c is not null").count() == 5000
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_remapped_relations_meet_by_a_sort(spark):
+    """No hash table of all relations, before or after they move; relations without a dropped end aren't looked up."""
+    edges = spark.createDataFrame([("a", "r", "b"), ("b", "r", "x"), ("c", "r", "x"), ("x", "r", "y"), ("x", "r", "y"), ("x", None, "y"), (None, "r", "y")], EDGES)
+    out = refine.remap_relations(edges, spark.createDataFrame([("b", "a"), ("c", "a")], "dropped string, kept string"))
+    assert sorted(map(str, out.collect())) == sorted(["Row(source='a', relation='r', target='x')", "Row(source='x', relation='r', target='y')", "Row(source='x', relation=None, target='y')"])
+    assert "keys=[source" not in plan_of(out)
+
+
+def test_few_labels_go_to_the_texts(spark):
+    nodes = spark.createDataFrame([("a", "an"), ("b", "huế cố"), ("c", "an")], "id string, label string")
+    chunks = spark.createDataFrame([("1", "s", "An huế  CỐ đô"), ("1", "s", "huế"), ("2", "s", "bàn an")], "chunk_id string, source string, text string")
+    few, many = refine.provenance(nodes, chunks), refine.provenance(nodes, chunks, most_labels=0)
+    assert sorted(few.collect()) == sorted(many.collect()) and few.count() == 5
+    assert "SortMergeJoin" not in plan_of(few)
+
+
+def test_chunks_are_cut_a_few_texts_at_a_time(spark):
+    from terrane.functions import text as X
+
+    docs = spark.createDataFrame([(i, "word " * 40 * i if i else None) for i in range(9)], "doc_id long, text string").coalesce(1)
+    cut = lambda n: sorted(map(tuple, X.chunks(docs, few=n).collect()))
+    assert cut(1) == cut(2) == cut(64) and len(cut(2)) == sum(len(X.chunk_spans("word " * 40 * i)) for i in range(9))
